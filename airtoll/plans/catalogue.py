@@ -21,6 +21,7 @@ from airtoll.operators import rollup as U
 from airtoll.operators import spatial as G
 from airtoll.plans import bindings as B
 from airtoll.sources import reports as P
+from airtoll.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,7 +108,7 @@ def g4_nearest_place(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def j1_points_in_tracts(spark: SparkSession, folder: str) -> DataFrame:
     shapes = G.tract_shapes(B.tracts(spark, folder), geographic=False)
-    sites = G.merge_sites(B.points(spark, folder), SCENARIO)
+    sites = staged(G.merge_sites(B.points(spark, folder), SCENARIO))
     return rounded(G.tract_means(sites, shapes, SCENARIO, B.COVER), {"Avg_Conc": 8})
 
 
@@ -120,8 +121,8 @@ def j1_point_matches(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def j2_nearest_receptor(spark: SparkSession, folder: str) -> DataFrame:
     shapes = G.tract_shapes(B.tracts(spark, folder), geographic=False)
-    sites = G.merge_sites(B.points(spark, folder), SCENARIO)
-    means = G.tract_means(sites, shapes, SCENARIO, B.COVER)
+    sites = staged(G.merge_sites(B.points(spark, folder), SCENARIO))
+    means = staged(G.tract_means(sites, shapes, SCENARIO, B.COVER))
     near = G.nearest_receptor(shapes, sites, SCENARIO, B.GRID, means.select(*SCENARIO, "GEOID"))
     return near.select(*SCENARIO, "GEOID", "distance", "x", "y",
                        F.col("first").alias("Nearest_Conc"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -20,13 +18,3 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         .getOrCreate()
     )
 
-
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoint() at the shared folder the cluster names.
-
-    Only where no folder is named (tests on one machine) a temporary one is taken.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="airtoll-checkpoint-"))
