@@ -36,20 +36,28 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], position: Column,
-                bands: int = 128) -> DataFrame:
+                band_bits: int = 10) -> DataFrame:
     """Row numbers 1..n inside each group without gathering a group in one task.
 
-    `position` is a long that grows with `order`. Identical rows are counted first; each group
-    is then cut into bands at the quantiles of `position`, every band is numbered on its own
-    and starts where the bands before it end. Rows that are equal in every column are
-    interchangeable and take consecutive numbers.
+    Adds `row_number` and `group_number`, the rank of the group. `position` is a long that grows
+    with `order`. Identical rows are counted first; each group is then cut into 2**band_bits bands
+    at the quantiles of `position`, every band is numbered on its own and starts where the bands
+    before it end. Rows that are equal in every column are interchangeable and take consecutive
+    numbers. Groups are few (files): their list is ranked as a whole.
     """
     columns = df.columns
+    bands = 2**band_bits
     rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__at", position)
+    # the filter is always true; it lets both readers of `rows` share one shuffle
+    counted = rows.filter(F.col("__copies") > 0)
     cuts = [i / bands for i in range(1, bands)]
-    splits = rows.groupBy(*group).agg(F.percentile_approx("__at", cuts, 1000).alias("__splits"))
-    banded = join_null_safe(rows, splits, group).withColumn(
-        "__band", F.size(F.filter("__splits", lambda s: s < F.col("__at")))).drop("__splits")
+    splits = counted.groupBy(*group).agg(
+        F.percentile_approx("__at", cuts, 10 * bands).alias("__splits")
+    ).withColumn("group_number", F.row_number().over(Window.orderBy(*group)))
+    halves = F.array(*[F.lit(2**bit) for bit in reversed(range(band_bits))])
+    search = F.aggregate(halves, F.lit(0), lambda at, step: F.when(
+        F.try_element_at("__splits", at + step) < F.col("__at"), at + step).otherwise(at))
+    banded = join_null_safe(counted, splits, group).withColumn("__band", search).drop("__splits")
     sizes = banded.groupBy(*group, "__band").agg(F.sum("__copies").alias("__size"))
     before = Window.partitionBy(*group).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*group, "__band", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
@@ -58,13 +66,12 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], posit
         *[F.col(f"`{c}`").asc_nulls_last() for c in columns if c not in order])
     numbered = join_null_safe(banded, starts, [*group, "__band"]).withColumn(
         "__last", F.col("__start") + F.sum("__copies").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    # copies are spread in chunks, so that one heavily repeated row does not expand in one task
+    # copies are spread in chunks, so that one heavily repeated row does not expand at once
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / CHUNK)))
-    chunked = numbered.withColumn("__chunk", chunk)
     first = F.col("__last") - F.col("__copies") + F.col("__chunk") * CHUNK + 1
     last = F.least(first + (CHUNK - 1), F.col("__last"))
-    return chunked.select(*[F.col(f"`{c}`") for c in columns],
-                          F.explode(F.sequence(first, last)).alias("row_number"))
+    return numbered.withColumn("__chunk", chunk).select(
+        *[F.col(f"`{c}`") for c in columns], "group_number", F.explode(F.sequence(first, last)).alias("row_number"))
 
 
 def site_position(x: Column, y: Column) -> Column:
@@ -80,16 +87,10 @@ def monitor_ids(receptors: DataFrame, files: Sequence[str] = ("file_name",)) ->
     part of the key. Files are ranked by name.
     """
     numbered = number_rows(receptors, files, ["Y", "X"], site_position(F.col("X"), F.col("Y")))
-    # one row per input file, the size of the file listing itself
-    index = receptors.select(*files).distinct().withColumn(
-        "__file", F.row_number().over(Window.orderBy(*files)) - 1)
-    number = F.col("__file") * IDS_PER_FILE + F.col("row_number")
-    return (
-        join_null_safe(numbered, index, files)
-        .withColumn("Monitor Name", F.concat(F.lit("M"), F.when(number < 1000, F.lpad(
-            number.cast("string"), 3, "0")).otherwise(number.cast("string"))))
-        .drop("__file", "row_number")
-    )
+    number = (F.col("group_number") - 1) * IDS_PER_FILE + F.col("row_number")
+    text = number.cast("string")
+    padded = F.when(number < 1000, F.lpad(text, 3, "0")).otherwise(text)
+    return numbered.withColumn("Monitor Name", F.concat(F.lit("M"), padded)).drop("group_number", "row_number")
 
 
 def reformat_receptors(receptors: DataFrame, epsg: int = 32618, places: DataFrame | None = None,
@@ -101,13 +102,14 @@ def reformat_receptors(receptors: DataFrame, epsg: int = 32618, places: DataFram
     """
     zone, south = zone_of_epsg(epsg)
     lon, lat = utm_to_lon_lat(F.col("X"), F.col("Y"), zone, south)
-    sites = monitor_ids(receptors.filter(F.col("X").isNotNull() & F.col("Y").isNotNull())).withColumns(
-        {"Longitude": lon, "Latitude": lat})
+    placed = receptors.filter(F.col("X").isNotNull() & F.col("Y").isNotNull())
+    sites = monitor_ids(placed).withColumns({"Longitude": lon, "Latitude": lat})
     if places is None:
         sites = sites.withColumn("Monitor Description", F.lit(S.UNKNOWN_PLACE))
     else:
-        named = nearest_place(sites, places, place_grid)
-        sites = sites.join(named, ["Longitude", "Latitude"], "left").withColumn(
+        spots = placed.select("X", "Y").distinct().select("X", "Y", lon.alias("Longitude"), lat.alias("Latitude"))
+        named = nearest_place(spots, places, ["X", "Y"], place_grid)
+        sites = sites.join(named, ["X", "Y"], "left").withColumn(
             "Monitor Description", F.coalesce("place", F.lit(S.UNKNOWN_PLACE)))
     return sites.withColumns(
         {name: F.lit(value) for name, value in S.MONITOR_CONSTANTS.items()}

@@ -130,7 +130,8 @@ def multivariate_fits(data: DataFrame, keys: Sequence[str], outcome: str, candid
     `selection` holds (keys, svi_variables). A group without selected variables is fitted on the
     `always` terms, or left out when require_selected is set. Rows with a missing outcome or a
     missing model variable are left out of that group's model. Two grouped aggregations: means of
-    the complete rows, then cross products of the centred values.
+    the complete rows, then cross products of the centred values; `data` is read twice and should
+    be staged.
     """
     terms = [*candidates, *always]
     how = "inner" if require_selected else "left"

@@ -97,9 +97,9 @@ def g2_utm_to_lonlat(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def g4_nearest_place(spark: SparkSession, folder: str) -> DataFrame:
     lon, lat = utm_to_lon_lat(F.col("X"), F.col("Y"))
-    sites = B.receptors(spark, folder).select("X", "Y", lon.alias("Longitude"), lat.alias("Latitude")).distinct()
-    named = G.nearest_place(sites, B.places(spark, folder), B.TOWN_GRID)
-    return sites.join(named, ["Longitude", "Latitude"]).select("X", "Y", "place")
+    sites = B.receptors(spark, folder).select("X", "Y").distinct().select(
+        "X", "Y", lon.alias("Longitude"), lat.alias("Latitude"))
+    return G.nearest_place(sites, B.places(spark, folder), ["X", "Y"], B.TOWN_GRID)
 
 
 # --- tract concentrations ---------------------------------------------------------------
@@ -107,7 +107,7 @@ def g4_nearest_place(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def j1_points_in_tracts(spark: SparkSession, folder: str) -> DataFrame:
-    shapes = G.tract_shapes(B.tracts(spark, folder), geographic=False)
+    shapes = staged(G.tract_shapes(B.tracts(spark, folder), geographic=False))
     sites = staged(G.merge_sites(B.points(spark, folder), SCENARIO))
     return rounded(G.tract_means(sites, shapes, SCENARIO, B.COVER), {"Avg_Conc": 8})
 
@@ -120,7 +120,7 @@ def j1_point_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def j2_nearest_receptor(spark: SparkSession, folder: str) -> DataFrame:
-    shapes = G.tract_shapes(B.tracts(spark, folder), geographic=False)
+    shapes = staged(G.tract_shapes(B.tracts(spark, folder), geographic=False))
     sites = staged(G.merge_sites(B.points(spark, folder), SCENARIO))
     means = staged(G.tract_means(sites, shapes, SCENARIO, B.COVER))
     near = G.nearest_receptor(shapes, sites, SCENARIO, B.GRID, means.select(*SCENARIO, "GEOID"))
@@ -436,15 +436,17 @@ def a14_selected_map(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def t6_multivariate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = V.mortality_rows(B.vulnerability(spark, folder))
-    chosen = M.selected_lists(M.significant(M.add_interval(_univariate(spark, folder)), SCENARIO), SCENARIO)
+    rows = staged(V.mortality_rows(B.vulnerability(spark, folder)))
+    fitted = M.univariate_fits(rows, SCENARIO, "scaled_cases", S.INDICATORS)
+    chosen = M.selected_lists(M.significant(M.add_interval(fitted), SCENARIO), SCENARIO)
     fits = M.multivariate_fits(rows, SCENARIO, "scaled_cases", S.INDICATORS, ["Final_Conc"], chosen, False)
     return rounded(M.add_interval(fits), FIT_DIGITS | {"p_value": 9})
 
 
 def _pooled_multivariate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = V.pooled_tracts(B.vulnerability(spark, folder))
-    chosen = M.selected_lists(M.significant(M.add_interval(_pooled(spark, folder)), ["condition"]), ["condition"])
+    rows = staged(V.pooled_tracts(B.vulnerability(spark, folder)))
+    fitted = M.univariate_fits(rows, ["condition"], "total_scaled_cases", S.INDICATORS)
+    chosen = M.selected_lists(M.significant(M.add_interval(fitted), ["condition"]), ["condition"])
     fits = M.multivariate_fits(rows, ["condition"], "total_scaled_cases", S.INDICATORS,
                                ["Final_Conc", "total_pop"], chosen, True)
     return M.add_interval(fits)
