@@ -42,6 +42,11 @@ def matched(column: Column, pattern: str, group: int) -> Column:
     return F.when(column.rlike(pattern), F.regexp_extract(column, pattern, group))
 
 
+def plain_name(file_name: Column) -> Column:
+    """File name without the escapes that the file metadata carries (`%20` for a blank)."""
+    return F.url_decode(F.regexp_replace(file_name, r"\+", "%2B"))
+
+
 def clamp(column: Column, low: float, high: float) -> Column:
     """Squeeze into [low, high]; null stays null."""
     return F.when(column.isNotNull(), F.least(F.greatest(column, F.lit(low)), F.lit(high)))
