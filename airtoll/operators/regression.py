@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from airtoll.functions.columns import join_null_safe
 from airtoll.functions.student import half_width_factor, p_value
+from airtoll.sources.staging import staged
 
 ALIAS_TOLERANCE = 1e-11  # share of a term's variation left after the earlier terms
 INTERCEPT = "(Intercept)"
@@ -43,21 +44,14 @@ def add_interval(fits: DataFrame, interval: str = "normal", exponentiate: bool =
 def univariate_fits(data: DataFrame, keys: Sequence[str], outcome: str, variables: Sequence[str]) -> DataFrame:
     """One simple regression per (keys, variable): estimate, intercept, std_error, df, n.
 
-    All variables are fitted in one grouped aggregation over the wide rows; only its result, one
-    row per group, is unpivoted. Rows with a missing value are left out per variable.
+    All models come from one grouped aggregation: a row is unfolded to its variables inside the
+    task and combined before the shuffle. Rows with a missing value are left out per variable.
     """
-    y = F.col(outcome)
-    moments = []
-    for v in variables:
-        x = F.col(v)
-        for name, fn in (("n", F.regr_count), ("mx", F.regr_avgx), ("my", F.regr_avgy), ("sxx", F.regr_sxx),
-                         ("sxy", F.regr_sxy), ("syy", F.regr_syy)):
-            moments.append(fn(y, x).alias(f"{name}__{v}"))
-    stats = data.groupBy(*keys).agg(*moments)
-    names = ("n", "mx", "my", "sxx", "sxy", "syy")
-    rows = stats.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(v).alias("svi_variable"), *[F.col(f"{name}__{v}").alias(name) for name in names])
-        for v in variables])))
+    pairs = F.array(*[F.struct(F.lit(v).alias("svi_variable"), F.col(v).cast("double").alias("x")) for v in variables])
+    y, x = F.col("y"), F.col("x")
+    rows = data.select(*keys, F.col(outcome).alias("y"), F.inline(pairs)).groupBy(*keys, "svi_variable").agg(
+        F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("mx"), F.regr_avgy(y, x).alias("my"),
+        F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"))
     slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx"))
     rest = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
     return (
@@ -94,6 +88,33 @@ FIT_FIELDS = [
 ]
 
 
+GROUPS_HELD = 2000
+
+
+def _cross_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial sums of products of all column pairs (upper triangle) per group of one partition."""
+    held: dict[int, np.ndarray] = {}
+
+    def partial() -> pd.DataFrame:
+        ids, sums = list(held), [gram[np.triu_indices(len(gram))] for gram in held.values()]
+        size = len(sums[0]) if sums else 0
+        return pd.DataFrame({"group_id": np.repeat(np.asarray(ids, np.int64), size),
+                             "at": np.tile(np.arange(size, dtype=np.int32), len(ids)),
+                             "s": np.concatenate(sums) if sums else np.empty(0)})
+
+    for batch in batches:
+        ids, values = batch["group_id"].to_numpy(), batch.drop(columns="group_id").to_numpy(float)
+        order = np.argsort(ids, kind="stable")
+        names, starts = np.unique(ids[order], return_index=True)
+        for name, at in zip(names, np.split(order, starts[1:]), strict=True):
+            part = values[at]
+            held[name] = held.get(name, 0.0) + part.T @ part
+        if len(held) > GROUPS_HELD:
+            yield partial()
+            held.clear()
+    yield partial()
+
+
 def _solve(gram: np.ndarray, cross: np.ndarray, total: float, n: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """Centred least squares with aliased terms left out in the given order.
 
@@ -130,8 +151,8 @@ def multivariate_fits(data: DataFrame, keys: Sequence[str], outcome: str, candid
     `selection` holds (keys, svi_variables). A group without selected variables is fitted on the
     `always` terms, or left out when require_selected is set. Rows with a missing outcome or a
     missing model variable are left out of that group's model. Two grouped aggregations: means of
-    the complete rows, then cross products of the centred values; `data` is read twice and should
-    be staged.
+    the complete rows, then cross products of the centred values, summed per partition before the
+    shuffle; `data` is read twice and should be staged.
     """
     terms = [*candidates, *always]
     how = "inner" if require_selected else "left"
@@ -149,17 +170,23 @@ def multivariate_fits(data: DataFrame, keys: Sequence[str], outcome: str, candid
         *[F.when(used(v), F.col(v)).otherwise(F.lit(0.0)).alias(f"t{i}") for i, v in enumerate(terms, 1)],
         "svi_variables")
     columns = [f"t{i}" for i in range(len(terms) + 1)]
-    means = rows.groupBy(*keys).agg(
+    # one row per group; staged, so that the group numbers stay what they are
+    means = staged(rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.first("svi_variables").alias("used"),
-        *[F.avg(c).alias(f"m_{c}") for c in columns])
-    centred = join_null_safe(rows.select(*keys, *columns), means.select(*keys, *[f"m_{c}" for c in columns]), keys)
-    centred = centred.select(*keys, *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns])
+        *[F.avg(c).alias(f"m_{c}") for c in columns]
+    ).withColumn("group_id", F.monotonically_increasing_id()))
+    centres = means.select(*keys, "group_id", *[f"m_{c}" for c in columns])
+    centred = join_null_safe(rows.select(*keys, *columns), centres, keys).select(
+        "group_id", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns])
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    products = centred.groupBy(*keys).agg(
-        *[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"s_{i}_{j}") for i, j in pairs])
-    groups = join_null_safe(means, products, keys).select(
+    sums = (
+        centred.mapInPandas(_cross_products, "group_id long, at int, s double")
+        .groupBy("group_id", "at").agg(F.sum("s").alias("s"))
+        .groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("sums"))
+    )
+    groups = means.join(sums, "group_id").select(
         *keys, "n", "used", F.array(*[f"m_{c}" for c in columns]).alias("means"),
-        F.array(*[f"s_{i}_{j}" for i, j in pairs]).alias("sums"))
+        F.col("sums.s").alias("sums"))
 
     schema = T.StructType([*[f for f in data.select(*keys).schema.fields], *FIT_FIELDS])
     keys, candidates, always = list(keys), list(candidates), list(always)
