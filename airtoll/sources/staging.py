@@ -13,13 +13,15 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without the setting (tests, benchmark) gets a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = (spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+             or context.getCheckpointDir())
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="airtoll-"))
-    return spark.sparkContext.getCheckpointDir()
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="airtoll-"))
+    return context.getCheckpointDir()
 
 
 def staged(df: DataFrame) -> DataFrame:
