@@ -46,7 +46,7 @@ def missing_runs(manifest: DataFrame, expected: Sequence[str] = tuple(S.POLLUTAN
     """(keys, pollutant) that are expected for every scenario but have no run."""
     wanted = manifest.select(*keys).distinct().withColumn(
         "pollutant", F.explode(F.array(*[F.lit(p) for p in expected])))
-    return wanted.join(manifest.select(*keys, "pollutant").distinct(), [*keys, "pollutant"], "left_anti")
+    return wanted.join(manifest.select(*keys, "pollutant"), [*keys, "pollutant"], "left_anti")
 
 
 def site_characteristics(bounds: DataFrame, values: DataFrame) -> DataFrame:

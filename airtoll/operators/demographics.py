@@ -66,7 +66,7 @@ def unmatched_tracts(concentrations: DataFrame, demographics: DataFrame,
                      on: Sequence[str] = ("GEOID",)) -> DataFrame:
     """Rows per scenario year whose tract has no demographics; they vanish from every sum."""
     others = [c for c in on if c != "GEOID"]
-    missing = concentrations.join(demographics.select(*on).distinct(), list(on), "left_anti")
+    missing = concentrations.join(demographics.select(*on), list(on), "left_anti")
     return missing.groupBy(*others).agg(F.count(F.lit(1)).alias("unmatched_rows"),
                                         F.countDistinct("GEOID").alias("unmatched_tracts"))
 

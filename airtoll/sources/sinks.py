@@ -19,7 +19,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
 def write_reformatted(monitors: DataFrame, path: str, fmt: str = "csv") -> None:
     """One output folder per input file, named after its stem.
 
-    Rows are not gathered per file first: a large input keeps as many writers as it has splits.
+    Rows are rebalanced by stem: small files end in one task each, a large one is split over
+    several writers, so neither tiny output files nor an oversized task arise.
     """
     stem = F.concat(F.lit("reformatted_"), F.regexp_replace("file_name", r"\.csv$", ""))
-    write_table(monitors.withColumn("stem", stem).drop("file_name"), path, ["stem"], fmt)
+    named = monitors.withColumn("stem", stem).drop("file_name")
+    write_table(named.hint("rebalance", F.col("stem")), path, ["stem"], fmt)
