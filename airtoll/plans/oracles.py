@@ -49,6 +49,65 @@ SVI_SQL = ", ".join(
     for i, ((_, new), prime) in enumerate(zip(SVI_NAMES, B.SVI_PRIMES, strict=True)))
 SCALE = UTM_SCALE * RECTIFYING_RADIUS
 
+def _tail(t: str, df: str) -> str:
+    """Two-sided Student t probability: finite trigonometric series for even and odd df."""
+    cos2 = f"({df} / ({df} + {t} * {t}))"
+    even = f"exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow({cos2}, k)"
+    odd = f"exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow({cos2}, k + 0.5)"
+    sine = f"abs({t}) / sqrt({df} + {t} * {t})"
+    return f"""CASE WHEN {df} % 2 = 0
+        THEN 1 - {sine} * list_sum(list_transform(range(0, {df} // 2), lambda k: {even}))
+        ELSE 1 - 2 / pi() * (atan(abs({t}) / sqrt({df}))
+            + {sine} * list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: {odd}))) END"""
+
+
+def _models(tag: str, keys: list[str], source: str, outcome: str, always: list[str], chosen: str) -> dict[str, str]:
+    """Views of one multi-variable model per group: chosen variables followed by the `always` terms.
+
+    model_{tag}(keys, term, b, se, df, n). A value list per row ends with the outcome.
+    """
+    key = ", ".join(keys)
+    named = ", ".join(f"r.{k}" for k in keys)
+    cases = " ".join(f"WHEN '{v}' THEN r.{v}" for v in (*S.INDICATORS, *always))
+    order = "[" + ", ".join(_text(v) for v in (*S.INDICATORS, *always)) + "]"
+    return {
+        f"terms_{tag}": f"""
+            SELECT {key}, list_filter({order}, lambda v: list_contains(vars, v) OR list_contains({always!r}, v)) AS terms
+            FROM ({chosen})""",
+        f"value_{tag}": f"""
+            SELECT {named}, terms, list_append(list_transform(terms, lambda v: CASE v {cases} END), {outcome}) AS v
+            FROM {source} r JOIN terms_{tag} t ON {' AND '.join(f't.{k} = r.{k}' for k in keys)}""",
+        f"pair_{tag}": f"""
+            SELECT {key}, terms, v, unnest(range(1, len(v) + 1)) AS i FROM value_{tag}
+            WHERE len(list_filter(v, lambda x: x IS NULL)) = 0""",
+        f"product_{tag}": f"""
+            SELECT {key}, terms, i, j, covar_pop(v[i], v[j]) * count(*) AS s, avg(v[i]) AS mean, count(*) AS n
+            FROM (SELECT *, unnest(range(1, len(v) + 1)) AS j FROM pair_{tag}) GROUP BY {key}, terms, i, j""",
+        f"matrix_{tag}": f"""
+            SELECT {key}, terms, n, list(line ORDER BY i) AS m, list(mean ORDER BY i) AS means FROM (
+                SELECT {key}, terms, i, max(n) AS n, max(mean) AS mean, list(s ORDER BY j) AS line
+                FROM product_{tag} GROUP BY {key}, terms, i) GROUP BY {key}, terms, n""",
+        f"sweep_{tag}": f"""
+            SELECT {key}, terms, n, means, 1 AS k, m FROM matrix_{tag}
+            UNION ALL
+            SELECT {key}, terms, n, means, k + 1, list_transform(m, lambda line, i: list_transform(line, lambda s, j:
+                CASE WHEN i = k AND j = k THEN 1 / s WHEN i = k THEN s / m[k][k] WHEN j = k THEN -s / m[k][k]
+                     ELSE s - m[i][k] * m[k][j] / m[k][k] END))
+            FROM sweep_{tag} WHERE k <= len(terms)""",
+        f"solved_{tag}": f"""
+            SELECT *, len(terms) AS p, n - 1 - len(terms) AS df, m[len(terms) + 1][len(terms) + 1] AS rest
+            FROM sweep_{tag} WHERE k = len(terms) + 1""",
+        f"model_{tag}": f"""
+            SELECT {key}, terms[w] AS term, m[w][p + 1] AS b, sqrt(rest / df * m[w][w]) AS se, df, n
+            FROM (SELECT *, unnest(range(1, p + 1)) AS w FROM solved_{tag})
+            UNION ALL
+            SELECT {key}, '(Intercept)', means[p + 1] - list_sum(list_transform(range(1, p + 1), lambda a: means[a] * m[a][p + 1])),
+                   sqrt(rest / df * (1 / n + list_sum(list_transform(range(1, p + 1), lambda a: list_sum(list_transform(
+                       range(1, p + 1), lambda c: means[a] * means[c] * m[a][c])))))), df, n
+            FROM solved_{tag}""",
+    }
+
+
 VIEWS: dict[str, str] = {
     "tract": f"""
         SELECT c_custkey, {GEOID} AS GEOID, substr({GEOID}, 6, 6) AS TRACTCE,
@@ -232,6 +291,16 @@ VIEWS: dict[str, str] = {
             SELECT *, {NORMAL_975!r} AS z, n - 2 AS df FROM fit_c)
         WHERE abs(b / se) > z + (pow(z, 3) + z) / (4 * df)
             + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df)""",
+    "selected_p": f"""
+        SELECT condition, svi_variable FROM (SELECT *, {NORMAL_975!r} AS z, n - 2 AS df FROM fit_p)
+        WHERE abs(b / se) > z + (pow(z, 3) + z) / (4 * df)
+            + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df)""",
+    **_models("c", ["pollutant", "condition"], "mortality", "r.cases * 1000", ["Final_Conc"], """
+        SELECT g.pollutant, g.condition, list(svi_variable) AS vars
+        FROM (SELECT DISTINCT pollutant, condition FROM mortality) g LEFT JOIN selected s
+            ON s.pollutant = g.pollutant AND s.condition = g.condition GROUP BY ALL"""),
+    **_models("p", ["condition"], "pooled", "r.outcome", ["Final_Conc", "total_pop"],
+              "SELECT condition, list(svi_variable) AS vars FROM selected_p GROUP BY ALL"),
     "event": """
         SELECT *, CASE WHEN user_id % 3 = 0 THEN 'SITE' ELSE 'Site' END || user_id % 10 || ' '
             || [{conditions}][user_id // 10 % 4 + 1] || ' ' || [{pollutants}][user_id // 40 % 4 + 1] AS run
@@ -275,7 +344,7 @@ def sql(body: str) -> str:
 
     visit(body)
     chosen = ",\n".join(f"{name} AS ({text.strip()})" for name, text in VIEWS.items() if name in needed)
-    return f"WITH {chosen}\n{body.strip()}" if chosen else body.strip()
+    return f"WITH RECURSIVE {chosen}\n{body.strip()}" if chosen else body.strip()
 
 
 def _case_columns(scenario: str) -> str:
@@ -301,6 +370,26 @@ def _fit(view: str, keys: str, digits: int) -> str:
         FROM {view}"""
 
 
+def _model(view: str, keys: str, digits: int) -> str:
+    return f"""
+        SELECT {keys}, term, round(b, {digits}) + 0 AS estimate, round(se, {digits}) AS std_error, df, n,
+               round(b / se, {digits}) + 0 AS statistic, round(b - {NORMAL_975!r} * se, {digits}) + 0 AS conf_low,
+               round(b + {NORMAL_975!r} * se, {digits}) + 0 AS conf_high,
+               abs(round({_tail('(b / se)', 'df')}, 9)) AS p_value
+        FROM {view}"""
+
+
+def _short(value: str) -> str:
+    """Three decimals without trailing zeros."""
+    return f"regexp_replace(regexp_replace(printf('%.3f', round({value}, 3) + 0.0), '0+$', ''), '\\.$', '')"
+
+
+def _result_cells() -> str:
+    text = (f"{_short('b')} || ' (' || {_short('low')} || '–' || {_short('high')} || '), ' || bold || 'p = ' || "
+            f"{_short('p')} || bold")
+    return ", ".join(f'max({text}) FILTER (WHERE condition = {_text(c)}) AS "{c}"' for c in S.CONDITION_ORDER)
+
+
 RATES = ", ".join(S.ENDPOINT_OF_RATE)
 PEOPLE = ", ".join(S.DEMOGRAPHICS)
 TOTALS = """
@@ -444,6 +533,9 @@ BODIES: dict[str, str] = {
         SELECT FIPS, condition, round(outcome, 3) AS total_scaled_cases, round(Final_Conc, 8) AS Final_Conc,
                round(total_pop, 6) AS total_pop, {', '.join(f'round({c}, 6) AS {c}' for c in S.INDICATORS)} FROM pooled""",
     "t1_univariate": _fit("fit_c", "pollutant, condition", 6),
+    "t1_p_values": f"""
+        SELECT pollutant, condition, svi_variable, abs(round({_tail('(b / se)', 'df')}, 9)) AS p_value, df
+        FROM (SELECT *, n - 2 AS df FROM fit_c)""",
     "t2_themes": f"""
         SELECT pollutant, condition, svi_variable, round(exp(b), 7) AS estimate,
                round(exp(b - {NORMAL_975!r} * se), 7) AS conf_low, round(exp(b + {NORMAL_975!r} * se), 7) AS conf_high,
@@ -456,6 +548,23 @@ BODIES: dict[str, str] = {
         SELECT pollutant, string_agg(condition || ': ' || names, '; ' ORDER BY condition) AS condition_lists
         FROM (SELECT pollutant, condition, string_agg(svi_variable, ' + ' ORDER BY svi_variable) AS names
               FROM selected GROUP BY pollutant, condition) GROUP BY pollutant""",
+    "t6_multivariate": _model("model_c", "pollutant, condition", 6),
+    "t7_multivariate": _model("model_p", "condition", 4),
+    "t9_coefficient_plot": f"""
+        SELECT condition, term, replace(regexp_replace(term, '^Pct_', ''), '_', ' ') AS clean_term, svi_theme,
+               {_rank('svi_theme', [*S.SVI_THEMES, S.OTHER_THEME])} AS theme_rank, term_position,
+               round(b, 4) + 0 AS estimate, round(b - {NORMAL_975!r} * se, 4) + 0 AS conf_low,
+               round(b + {NORMAL_975!r} * se, 4) + 0 AS conf_high
+        FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY b, term) AS term_position,
+                     CASE {' '.join(f"WHEN term IN ({', '.join(map(_text, names))}) THEN {_text(theme)}"
+                                    for theme, names in S.SVI_THEMES.items())} ELSE {_text(S.OTHER_THEME)} END AS svi_theme
+              FROM model_p WHERE term NOT IN ('(Intercept)', 'Final_Conc', 'total_pop'))""",
+    "t10_formatted": f"""
+        SELECT pollutant, svi_variable, {_result_cells()} FROM (
+            SELECT *, CASE WHEN round(p, 3) < 0.05 THEN '**' ELSE '' END AS bold FROM (
+                SELECT *, b - {NORMAL_975!r} * se AS low, b + {NORMAL_975!r} * se AS high, {_tail('(b / se)', 'df')} AS p
+                FROM (SELECT *, n - 2 AS df FROM fit_c)))
+        GROUP BY pollutant, svi_variable""",
     "k_str6_number_text": """
         SELECT p_partkey, regexp_replace(regexp_replace(printf('%.3f', round(p_retailprice / 8, 3)), '0+$', ''), '\\.$', '')
                AS text, CASE WHEN p_partkey % 5 <> 0 THEN printf('%.2f', round(p_retailprice / 8, 2)) ELSE 'XX' END AS fixed
