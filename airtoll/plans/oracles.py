@@ -290,11 +290,11 @@ VIEWS: dict[str, str] = {
         SELECT pollutant, condition, svi_variable FROM (
             SELECT *, {NORMAL_975!r} AS z, n - 2 AS df FROM fit_c)
         WHERE abs(b / se) > z + (pow(z, 3) + z) / (4 * df)
-            + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df)""",
+            + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96.0::DOUBLE * df * df)""",
     "selected_p": f"""
         SELECT condition, svi_variable FROM (SELECT *, {NORMAL_975!r} AS z, n - 2 AS df FROM fit_p)
         WHERE abs(b / se) > z + (pow(z, 3) + z) / (4 * df)
-            + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df)""",
+            + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96.0::DOUBLE * df * df)""",
     **_models("c", ["pollutant", "condition"], "mortality", "r.cases * 1000", ["Final_Conc"], """
         SELECT g.pollutant, g.condition, list(svi_variable) AS vars
         FROM (SELECT DISTINCT pollutant, condition FROM mortality) g LEFT JOIN selected s
