@@ -128,3 +128,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, doc: st
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"))
             .withColumn("n_items", F.greatest("n_items", F.lit(0).cast("long")))
             .withColumn("contaminated", F.col("n_hit") > 0))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without a hit, with all their columns."""
+    bad = staged(decontaminate(docs, benchmark, span, doc, text).where("contaminated").select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return docs.join(bad, F.col(doc).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")

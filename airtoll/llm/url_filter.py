@@ -129,7 +129,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: tuple[list[float], float], key: str = "page_id",
-          url: str = "url", sizes: tuple[int, ...] = (3, 4, 5), threshold: float = 0.5) -> DataFrame:
+          url: str = "url", sizes: tuple[int, ...] = (3, 4, 5), threshold: float = 0.7) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (P(block) of the regression)."""
     weights, bias = model
     matched = match_rules(pages, rules_table(pages, rules), key, url)
