@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from airtoll.plans import catalogue, oracles
 from check_queries import TABLES, canonical
 
 FOLDER = "/root/testdata/sf0.001"
@@ -23,7 +24,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalogue.QUERIES) == set(oracles.all_sql())
 
 
 def test_entry_has_rows(spark):
