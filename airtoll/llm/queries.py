@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airtoll.llm import (chat, decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, toxicity,
-                         url_filter)
+from airtoll.llm import (chat, decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, suffix_dedup,
+                         toxicity, url_filter)
 from airtoll.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_chat(chat.with_probe(table(spark, folder, "conversations"), spark), vocab), vocab)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -62,7 +67,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_minhash_near_dedup, op3_line_dedup, op4_url_filter,
-    op5_quality_classifier, op6_chat_formatting, op8_exact_dedup, op9_mixing, op10_toxicity, pipeline)}
+    op5_quality_classifier, op6_chat_formatting, op7_suffix_array_dedup, op8_exact_dedup, op9_mixing, op10_toxicity, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
