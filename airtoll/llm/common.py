@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airtoll.sources.staging import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -37,3 +41,11 @@ def training_ids(labels: DataFrame, label: str, allowed: Column, per_class: int)
               .where(F.col("label") == F.col("most")).select("doc_id", "label"))
     chosen = [agreed.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     return chosen[0].unionByName(chosen[1])
+
+
+def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """Write once into the shared folder, bucketed by a column, and read back; grouping by it needs no shuffle."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name)
