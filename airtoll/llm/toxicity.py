@@ -74,11 +74,11 @@ class Grams:
                 x = h[at] + np.uint32(k)
                 x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
                 x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-                buckets.append((x >> np.uint32(32 - BUCKET_BITS)).astype(np.int32))
+                buckets.append((x >> np.uint32(32 - BUCKET_BITS)).astype(np.uint16))
                 words.append(word[at + 1])
-        self.bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
+        self.bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.uint16)
         self.word = np.concatenate(words) if words else np.zeros(0, np.int32)
-        self.per_word = np.bincount(self.word, minlength=len(self.window))
+        self.per_word = np.bincount(self.word, minlength=len(self.window)).astype(np.int32)
 
     def means(self, margin: np.ndarray) -> np.ndarray:
         """Mean over the words of each window of the mean margin of their n-grams."""
@@ -94,7 +94,7 @@ class Grams:
         cell = row_of[window[mine]].astype(np.int64) * BUCKETS + self.bucket[mine]
         weight = 1 / (self.per_word[self.word[mine]] * self.window_words[window[mine]])
         cells, at = np.unique(cell, return_inverse=True)
-        return cells // BUCKETS, cells % BUCKETS, np.bincount(at, weight, len(cells))
+        return (cells // BUCKETS).astype(np.int32), (cells % BUCKETS).astype(np.int32), np.bincount(at, weight, len(cells))
 
 
 class Model:
@@ -147,25 +147,42 @@ def fit(texts: list[str | None], y: np.ndarray, width: int = 8, rounds: int = 5)
     that any round finds most toxic. In the end margins are scaled to probabilities of whole texts.
     """
     y = np.asarray(y, float)
-    whole = Grams(texts, None)
-    texts, y = [t for t, n in zip(texts, whole.words) if n], y[whole.words > 0]
+    some = np.array([len(Grams([t], None).window_text) > 0 for t in texts], bool)
+    texts, y = [t for t, k in zip(texts, some) if k], y[some]
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 30.0 if len(y) and y[0] else -30.0)
-    whole = Grams(texts, None)
-    model = descend(*whole.bags(np.arange(len(texts))), y, width, 100, 0.1, 100.0, 1e-4)
-    del whole
-    grams, random = Grams(texts), np.random.default_rng(11)
-    ends = np.append(grams.first_window[1:], len(grams.window_text))
-    other = grams.first_window + (random.random(len(texts)) * (ends - grams.first_window)).astype(np.int64)
+    parts = list(grouped(texts))
+    rows, base = [], 0
+    for part in parts:
+        row, column, value = Grams(part, None).bags(np.arange(len(part)))
+        rows.append((row + base, column, value))
+        base += len(part)
+    model = descend(*map(np.concatenate, zip(*rows)), y, width, 100, 0.1, 100.0, 1e-4)
+    del rows
+    grams, random = [Grams(part) for part in parts], np.random.default_rng(11)
+    sizes = [len(g.window_text) for g in grams]
+    first = np.concatenate([g.first_window + sum(sizes[:i]) for i, g in enumerate(grams)])  # window of each text
+    ends = np.append(first[1:], sum(sizes))
+    text = np.repeat(np.arange(len(texts)), ends - first)
+    other = first + (random.random(len(texts)) * (ends - first)).astype(np.int64)
     calm = other[y == 0]  # windows of texts that are not toxic
+
+    def bags(chosen: np.ndarray) -> list[np.ndarray]:
+        out, low, done = [], 0, 0
+        for g, n in zip(grams, sizes):
+            mine = chosen[(chosen >= low) & (chosen < low + n)]
+            row, column, value = g.bags(mine - low)
+            out.append((row + done, column, value))
+            low, done = low + n, done + len(mine)
+        return [np.concatenate(c) for c in zip(*out)]
+
     for _ in range(rounds):
-        order = np.lexsort([grams.means(model.per_bucket), grams.window_text])
+        order = np.lexsort([np.concatenate([g.means(model.per_bucket) for g in grams]), text])
         best = order[ends - 1]  # of each text
         calm = np.union1d(calm, best[y == 0])
-        chosen = np.concatenate([best[y == 1], calm])
-        target = np.repeat([1.0, 0.0], [int(y.sum()), len(calm)])
-        model = descend(*grams.bags(chosen), target, width, 150, 0.3, 30.0, 1e-4)
-    best = np.maximum.reduceat(grams.means(model.per_bucket), grams.first_window) + model.bias
+        chosen = np.union1d(best[y == 1], calm)
+        model = descend(*bags(chosen), np.isin(chosen, best[y == 1]).astype(float), width, 150, 0.3, 30.0, 1e-4)
+    best = np.maximum.reduceat(np.concatenate([g.means(model.per_bucket) for g in grams]), first) + model.bias
     slope, shift = calibrated(best, y)
     return Model(model.per_bucket * slope, model.bias * slope + shift)
 
@@ -185,28 +202,31 @@ def calibrated(margin: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[floa
 
 def margins(texts: list[str | None], model: Model, most_chars: int = 1 << 20) -> np.ndarray:
     """Margins of whole texts, each that of its most toxic window; texts without a word have the bias, but not above 0."""
-    out, held, size = [], [], 0
-
-    def done() -> None:
+    out = [np.zeros(0)]
+    for held in grouped(texts, most_chars):
         grams = Grams(held)
         m = np.full(len(held), min(model.bias, 0.0))
         if len(grams.window_text):
             some = grams.words > 0
             m[some] = np.maximum.reduceat(grams.means(model.per_bucket), grams.first_window[some]) + model.bias
         out.append(m)
+    return np.concatenate(out)
+
 
+def grouped(texts: list[str | None], most_chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Neighbouring texts of about so many characters together, one text at least."""
+    held, size = [], 0
     for text in texts:
         if held and size + len(text or "") > most_chars:
-            done()
+            yield held
             held, size = [], 0
         held.append(text)
         size += len(text or "")
     if held:
-        done()
-    return np.concatenate(out) if out else np.zeros(0)
+        yield held
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 1500, most_chars: int = 100_000,
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 1000, most_chars: int = 100_000,
           doc: str = "doc_id", text: str = "text") -> Model:
     """Model from the labels whose column doc_id is allowed.
 
@@ -231,7 +251,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, doc: str = "doc
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, per_class: int = 1000, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted): learnt from the rows outside the held-out fold."""
     held_out = in_fold(F.col("doc_id"), 3, 1)
     return score(docs, train(docs, labels, ~held_out, per_class), threshold).select("doc_id", held_out.alias("held_out"), "score", "predicted")
