@@ -110,7 +110,8 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", sizes: tu
 def rules_table(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     rows = [F.struct(F.lit(h).alias("rule_host"), F.lit(p).alias("rule_path"), F.lit(f"{h}{p}").alias("rule"),
                      F.lit(v).alias("rule_verdict")) for h, p, v in rules]
-    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    kind = "array<struct<rule_host:string,rule_path:string,rule:string,rule_verdict:string>>"
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows).cast(kind)))
 
 
 def match_rules(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
