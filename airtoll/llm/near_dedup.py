@@ -202,7 +202,7 @@ def near_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: i
     totals = clustered.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"))
     blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("chars") / block_chars)).cast("int")
     totals = staged(totals.select("cluster", "chars", F.least(blocks, F.col("rows")).cast("int").alias("blocks")))
-    bins = max(1, (totals.where("blocks = 1").agg(F.sum("chars")).first()[0] or 0) // block_chars)
+    bins = max(1, 8 * (totals.where("blocks = 1").agg(F.sum("chars")).first()[0] or 0) // block_chars)
     # A row of a cluster in one block goes to a bin; otherwise to the pairs of blocks that hold its own.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
