@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach, as named by spark.checkpoint.dir.
+    """Folder all executors reach: the caller's own checkpoint folder, else the one spark.checkpoint.dir names.
 
-    Only a local session without the setting (tests, benchmark) gets a temporary folder.
+    Only a local session without either (tests, benchmark) gets a temporary folder.
     """
     context = spark.sparkContext
-    named = (spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-             or context.getCheckpointDir())
+    named = (context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+             or context.getConf().get("spark.checkpoint.dir"))
     if named:
         return named
     if not context.master.startswith("local"):
@@ -24,6 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders written by staged() that remove_staged() has not deleted yet.
+_written: list[str] = []
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all staged tables of this process; results that read them must have been used before."""
+    context = spark.sparkContext
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write once and read back.
 
@@ -32,5 +44,6 @@ def staged(df: DataFrame) -> DataFrame:
     broadcasts the table only when it is small.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from airtoll.plans import catalogue  # noqa: E402
 from airtoll.session import local_session  # noqa: E402
+from airtoll.sources.staging import remove_staged  # noqa: E402
 
 HEADLINE = [
     "d10_cost_by_pollutant", "d8_tract_cases", "d9_case_summary_by_year", "d12_savings", "d13_county_savings",
@@ -35,6 +36,7 @@ def main() -> None:
         start = time.perf_counter()
         catalogue.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        remove_staged(spark)
     spark.stop()
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))

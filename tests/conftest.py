@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from airtoll.session import local_session  # noqa: E402
+from airtoll.sources.staging import remove_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,6 +15,7 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
+    remove_staged(session)
     session.stop()
 
 
