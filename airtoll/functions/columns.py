@@ -19,6 +19,26 @@ def number(column: Column) -> Column:
     return column.try_cast("double")
 
 
+MAX_COLUMNS = 10_000  # more distinct values than this are not a category
+
+
+def category_values(df: DataFrame, column: str, first: Sequence = ()) -> list:
+    """Values of a category that are to become columns: `first`, then all others in `df`, sorted, null last.
+
+    The distinct values go to the driver; more of them than MAX_COLUMNS are an error, none is left out.
+    """
+    found = [r[0] for r in df.select(column).distinct().limit(MAX_COLUMNS + 1).collect()]
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"{column} has more than {MAX_COLUMNS} values")
+    others = sorted((v for v in found if v is not None and v not in first), key=lambda v: (str(type(v)), v))
+    return [*first, *others, *([None] if None in found and None not in first else [])]
+
+
+def column_label(value: object) -> str:
+    """Heading of a category that became a column."""
+    return "NA" if value is None else str(value)
+
+
 def rank_in(column: Column, order: Sequence[str]) -> Column:
     """Position of a category in a display order, null for an unlisted one."""
     positions = F.create_map(*[F.lit(v) for i, name in enumerate(order) for v in (name, i + 1)])

@@ -37,18 +37,38 @@ def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
             h = h * d * c
         if np.all(np.abs(d * c - 1) < 1e-15):
             break
+    else:
+        h = np.where(np.abs(d * c - 1) < 1e-12, h, np.nan)  # not converged: no value rather than a wrong one
     value = np.where(z <= 0, 0.0, front * h)
     return np.where(flip, 1 - value, value)
 
 
+LARGE_DF = 1e4
+
+
+def _near_normal(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tail for many degrees of freedom: t is turned into a normal deviate (Hill 1970, algorithm 395)."""
+    a = df - 0.5
+    b = 48 * a * a
+    y = a * np.log1p(t * t / df)
+    z = (((((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b) + y + 3) / b + 1) * np.sqrt(y)
+    return np.vectorize(math.erfc, otypes=[float])(z / math.sqrt(2))
+
+
 def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(|T| >= |t|); nan where t or df is missing or df < 1."""
     t, df = np.asarray(t, float), np.asarray(df, float)
     known = ~np.isnan(t) & ~np.isnan(df) & (df >= 1)
     out = np.full(t.shape, np.nan)
     tt, dd = t[known], df[known]
-    with np.errstate(over="ignore"):
-        out[known] = _incomplete_beta(dd / 2, 0.5, dd / (dd + tt * tt)) if tt.size else tt
+    many = dd > LARGE_DF
+    p = np.empty(tt.shape)
+    with np.errstate(over="ignore", invalid="ignore"):
+        if many.any():
+            p[many] = np.where(np.isinf(tt[many]), 0.0, _near_normal(np.where(np.isinf(tt[many]), 0.0, tt[many]), dd[many]))
+        if not many.all():
+            p[~many] = _incomplete_beta(dd[~many] / 2, 0.5, dd[~many] / (dd[~many] + tt[~many] ** 2))
+    out[known] = p
     return out
 
 

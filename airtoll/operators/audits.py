@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airtoll import schemas as S
+from airtoll.functions.columns import join_null_safe
 
 FLOWS = list(range(10, 361, 10))
 
@@ -18,10 +19,12 @@ def days_in_year(year: Column) -> Column:
 
 def run_completeness(days: DataFrame, run: Sequence[str] = ("file_name",)) -> DataFrame:
     """One row per run: days expected and seen, repeats, closing line, complete or not."""
-    seen = days.groupBy(*run).agg(
-        F.max("year").alias("year"), F.countDistinct("year").alias("years"), F.count("day").alias("day_lines"),
-        F.countDistinct("day").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
-        F.bool_or("closing").alias("closed"))
+    # counted per calendar day first: what is left of a run is bounded by the calendar
+    counted = days.groupBy(*run, "year", "day").agg(F.count("day").alias("lines"), F.bool_or("closing").alias("closing"))
+    seen = counted.groupBy(*run).agg(
+        F.max("year").alias("year"), F.size(F.collect_set("year")).cast("long").alias("years"),
+        F.sum("lines").alias("day_lines"), F.size(F.collect_set("day")).cast("long").alias("days"),
+        F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.bool_or("closing").alias("closed"))
     expected = days_in_year(F.col("year"))
     return seen.withColumn("expected_days", expected).withColumn(
         "complete", F.coalesce((F.col("days") == expected) & (F.col("day_lines") == expected)
@@ -51,29 +54,31 @@ def missing_runs(manifest: DataFrame, expected: Sequence[str] = tuple(S.POLLUTAN
 
 def site_characteristics(bounds: DataFrame, values: DataFrame) -> DataFrame:
     """Sector bounds with albedo, Bowen ratio and roughness per report."""
-    return bounds.join(values.drop("year"), ["file_name", "sector"]).select(
-        "year", "sector", "start_dir", "end_dir", "albedo", "bowen", "roughness")
+    return bounds.join(values.drop("site", "year"), ["file_name", "sector"]).select(
+        "site", "year", "sector", "start_dir", "end_dir", "albedo", "bowen", "roughness")
 
 
 def annual_roughness(monthly: DataFrame, values: DataFrame, tolerance: float = 0.0005 + 1e-9) -> DataFrame:
-    """Mean of the monthly values per year and sector against the published annual value."""
-    mean = monthly.groupBy("year", "sector").agg(
+    """Mean of the monthly values per site, year and sector against the published annual value."""
+    keys = ["site", "year", "sector"]
+    mean = monthly.groupBy(*keys).agg(
         F.avg("roughness").alias("monthly_mean"), F.count("roughness").alias("months"))
-    return mean.join(values.select("year", "sector", F.col("roughness").alias("annual")), ["year", "sector"]).withColumn(
+    annual = values.select(*keys, F.col("roughness").alias("annual"))
+    return join_null_safe(mean, annual, keys).withColumn(
         "agrees", F.abs(F.col("monthly_mean") - F.col("annual")) <= tolerance)
 
 
 def cover_check(counts: DataFrame) -> DataFrame:
-    """Sum of the classes per report and sector against its Total row."""
+    """Sum of the classes per site, year and sector against its Total row."""
     total = F.col("class") == -1
-    return counts.groupBy("year", "sector").agg(
+    return counts.groupBy("site", "year", "sector").agg(
         F.coalesce(F.sum(F.when(~total, F.col("cells"))), F.lit(0)).alias("class_sum"),
         F.max(F.when(total, F.col("cells"))).alias("total"),
         F.sum(F.when(~total, 1).otherwise(0)).alias("classes"),
     ).withColumn("agrees", F.col("class_sum") == F.col("total"))
 
 
-def roughness_change(values: DataFrame, site: Sequence[str] = ()) -> DataFrame:
+def roughness_change(values: DataFrame, site: Sequence[str] = ("site",)) -> DataFrame:
     """Change of the roughness of a sector of a site since the report before."""
     before = Window.partitionBy(*site, "sector").orderBy("year")
     return values.select(*site, "year", "sector", "roughness").withColumns({

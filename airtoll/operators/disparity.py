@@ -8,18 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airtoll import schemas as S
-from airtoll.functions.columns import group_of, number_text, rank_in, sum_or_zero
+from airtoll.functions.columns import category_values, column_label, group_of, number_text, rank_in, sum_or_zero
 from airtoll.operators.regression import INTERCEPT
+from airtoll.sources.staging import staged
 
 STRATIFIED_SCALE = 1000
 POOLED_SCALE = 100000
 
 
+def tract_id(fips: Column) -> Column:
+    """Tract ids read as numbers get their leading zeros back; longer ones are not cut."""
+    text = fips.cast("string")
+    return F.when(F.length(text) < 11, F.lpad(text, 11, "0")).otherwise(text)
+
+
 def clean_svi(svi: DataFrame) -> DataFrame:
     """Descriptive names, the sentinel turned to null, tracts without overall rank dropped."""
     names = S.SVI_RANKS | S.SVI_INDICATORS
     return svi.select(
-        F.lpad(F.col("FIPS").cast("string"), 11, "0").alias("FIPS"),
+        tract_id(F.col("FIPS")).alias("FIPS"),
         *[F.nullif(F.col(old), F.lit(float(S.SVI_MISSING))).alias(new) for old, new in names.items()],
     ).filter(F.col("SVI").isNotNull())
 
@@ -79,9 +86,12 @@ def result_text(level: float = 0.05) -> Column:
 
 
 def formatted_results(fits: DataFrame, keys: Sequence[str],
-                      conditions: Sequence[str] = tuple(S.CONDITION_ORDER)) -> DataFrame:
-    """Result text per (keys, variable), one column per condition."""
-    return (
-        fits.withColumn("results", result_text()).groupBy(*keys, "svi_variable")
-        .pivot("condition", list(conditions)).agg(F.first("results"))
-    )
+                      first: Sequence[str] = tuple(S.CONDITION_ORDER)) -> DataFrame:
+    """Result text per (keys, variable), one column per condition: those in `first`, then all others.
+
+    `keys` may be empty for pooled fits. The texts, one per fit, are staged, as they are read twice.
+    """
+    texts = staged(fits.select(*keys, "svi_variable", "condition", result_text().alias("results")))
+    cells = [F.first(F.when(F.col("condition").eqNullSafe(F.lit(c)), F.col("results")), ignorenulls=True).alias(column_label(c))
+             for c in category_values(texts, "condition", first)]
+    return texts.groupBy(*keys, "svi_variable").agg(*cells)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,8 +14,10 @@ from airtoll.functions.columns import number
 POUNDS_PER_TON = 2000
 
 
-def unpivot_inventory(inventory: DataFrame, years: Sequence[str] = tuple(S.INVENTORY_YEARS)) -> DataFrame:
-    """(ids, year, pounds) without blanks and text NA."""
+def unpivot_inventory(inventory: DataFrame, years: Sequence[str] | None = None) -> DataFrame:
+    """(ids, year, pounds) without blanks and text NA; by default every column named like a year is one."""
+    if years is None:
+        years = [c for c in inventory.columns if re.fullmatch(r"\d{4}", c)]
     ids = [c for c in inventory.columns if c not in years]
     return (
         inventory.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{y}`") for y in years], "year", "value")

@@ -11,6 +11,7 @@ from airtoll import schemas as S
 from airtoll.functions.columns import join_null_safe, matched
 from airtoll.functions.geodesy import utm_to_lon_lat, zone_of_epsg
 from airtoll.operators.spatial import Grid, nearest_place
+from airtoll.sources.staging import staged
 
 IDS_PER_FILE = 100  # first id of file i is i * 100 + 1
 CHUNK = 10_000
@@ -35,36 +36,29 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if counts[i] > 0])
 
 
-def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], position: Column,
-                band_bits: int = 10) -> DataFrame:
-    """Row numbers 1..n inside each group without gathering a group in one task.
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str],
+                rows_per_part: int = 1_000_000) -> DataFrame:
+    """Row numbers 1..n inside each group without gathering a group in one task; nulls come last.
 
-    Adds `row_number` and `group_number`, the rank of the group. `position` is a long that grows
-    with `order`. Identical rows are counted first; each group is then cut into 2**band_bits bands
-    at the quantiles of `position`, every band is numbered on its own and starts where the bands
-    before it end. Rows that are equal in every column are interchangeable and take consecutive
-    numbers. Groups are few (files): their list is ranked as a whole.
+    Adds `row_number` and `group_number`, the rank of the group. Identical rows are counted first.
+    The rows are then dealt by ranges of (group, order, all other columns), as many as their number
+    asks for, and staged, so that the ranges stay what they are; every range of a group is numbered
+    on its own and starts where the ranges before it end. Rows that are equal in every column are
+    interchangeable and take consecutive numbers. The list of groups (files) is ranked as a whole.
     """
     columns = df.columns
-    bands = 2**band_bits
-    rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__at", position)
-    # the filter is always true; it lets both readers of `rows` share one shuffle
-    counted = rows.filter(F.col("__copies") > 0)
-    cuts = [i / bands for i in range(1, bands)]
-    splits = counted.groupBy(*group).agg(
-        F.percentile_approx("__at", cuts, 10 * bands).alias("__splits")
-    ).withColumn("group_number", F.row_number().over(Window.orderBy(*group)))
-    halves = F.array(*[F.lit(2**bit) for bit in reversed(range(band_bits))])
-    search = F.aggregate(halves, F.lit(0), lambda at, step: F.when(
-        F.try_element_at("__splits", at + step) < F.col("__at"), at + step).otherwise(at))
-    banded = join_null_safe(counted, splits, group).withColumn("__band", search).drop("__splits")
-    sizes = banded.groupBy(*group, "__band").agg(F.sum("__copies").alias("__size"))
-    before = Window.partitionBy(*group).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*group, "__band", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*group, "__band").orderBy(
-        "__at", *[F.col(f"`{c}`").asc_nulls_last() for c in order],
-        *[F.col(f"`{c}`").asc_nulls_last() for c in columns if c not in order])
-    numbered = join_null_safe(banded, starts, [*group, "__band"]).withColumn(
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+    wanted = [F.col(f"`{c}`").asc_nulls_last()
+              for c in (*group, *order, *[c for c in columns if c not in order and c not in group])]
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_part))
+    dealt = staged(counted.repartitionByRange(ranges, *wanted).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*group, "__range").agg(F.sum("__copies").alias("__size"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    names = dealt.select(*group).distinct().withColumn("group_number", F.row_number().over(Window.orderBy(*group)))
+    starts = join_null_safe(starts, names, group)
+    within = Window.partitionBy(*group, "__range").orderBy(*wanted[len(group):])
+    numbered = join_null_safe(dealt, starts, [*group, "__range"]).withColumn(
         "__last", F.col("__start") + F.sum("__copies").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     # copies are spread in chunks, so that one heavily repeated row does not expand at once
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / CHUNK)))
@@ -74,19 +68,13 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], posit
         *[F.col(f"`{c}`") for c in columns], "group_number", F.explode(F.sequence(first, last)).alias("row_number"))
 
 
-def site_position(x: Column, y: Column) -> Column:
-    """Long that grows with (y, x) at centimetre resolution for UTM coordinates."""
-    shift = 2**30
-    return F.round(y * 100).cast("long") * shift + F.round(x * 100).cast("long")
-
-
 def monitor_ids(receptors: DataFrame, files: Sequence[str] = ("file_name",)) -> DataFrame:
     """Sequential monitor names per file in (Y, X) order, `M%03d` from i * 100 + 1 for file i.
 
     Ids of neighbouring files overlap once a file has more than 100 rows, so the file stays
     part of the key. Files are ranked by name.
     """
-    numbered = number_rows(receptors, files, ["Y", "X"], site_position(F.col("X"), F.col("Y")))
+    numbered = number_rows(receptors, files, ["Y", "X"])
     number = (F.col("group_number") - 1) * IDS_PER_FILE + F.col("row_number")
     text = number.cast("string")
     padded = F.when(number < 1000, F.lpad(text, 3, "0")).otherwise(text)

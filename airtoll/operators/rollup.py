@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airtoll import schemas as S
-from airtoll.functions.columns import clamp, fixed_text, rank_in, sum_or_zero
+from airtoll.functions.columns import category_values, clamp, column_label, fixed_text, rank_in, sum_or_zero
+from airtoll.operators.demographics import county_of
 from airtoll.operators.impact import add_unit_cost
+from airtoll.sources.staging import staged
 
 MILLION = 1e6
 
@@ -76,14 +78,22 @@ def endpoint_trend(priced: DataFrame, scenario: str = "year") -> DataFrame:
     )
 
 
-def damage_wide(priced: DataFrame, scenario: str, values: Sequence[str | int]) -> DataFrame:
-    """Cases and cost (in millions) per pollutant and endpoint, one column per scenario and measure."""
-    wide = priced.groupBy("pollutant", "endpoint").pivot(scenario, list(values)).agg(
-        F.first("total_additional_cases").alias("c"), F.first("total_cost").alias("m"))
-    cases = [F.col(f"`{v}_c`").alias(f"total_additional_cases_{v}") for v in values]
-    costs = [(F.col(f"`{v}_m`") / MILLION).alias(f"total_cost_{v}") for v in values]
-    return wide.select("endpoint", "pollutant", *cases, *costs,
-                       rank_in(F.col("pollutant"), S.POLLUTANT_ORDER).alias("pollutant_rank"))
+def damage_wide(priced: DataFrame, scenario: str, first: Sequence[str | int] = ()) -> DataFrame:
+    """Cases and cost (in millions) per pollutant and endpoint, one column per scenario and measure.
+
+    Columns: the scenarios in `first`, then every other one in the data; a missing scenario is NA.
+    `priced` (one row per pollutant, endpoint and scenario) is staged, as it is read twice.
+    """
+    priced = staged(priced)
+    values = category_values(priced, scenario, first)
+
+    def cell(measure: str, value: str | int | None) -> Column:
+        return F.first(F.when(F.col(scenario).eqNullSafe(F.lit(value)), F.col(measure)), ignorenulls=True)
+
+    cases = [cell("total_additional_cases", v).alias(f"total_additional_cases_{column_label(v)}") for v in values]
+    costs = [(cell("total_cost", v) / MILLION).alias(f"total_cost_{column_label(v)}") for v in values]
+    return priced.groupBy("endpoint", "pollutant").agg(*cases, *costs).withColumn(
+        "pollutant_rank", rank_in(F.col("pollutant"), S.POLLUTANT_ORDER))
 
 
 def damage_display(wide: DataFrame) -> DataFrame:
@@ -108,15 +118,22 @@ def cost_per(tract_costs: DataFrame, *keys: str) -> DataFrame:
     return tract_costs.groupBy(*keys).agg(sum_or_zero(F.col("economic_cost")).alias("total_economic_cost"))
 
 
-def scenario_savings(tract_costs: DataFrame, conditions: Sequence[str] = tuple(S.CONDITION_ORDER),
+def scenario_savings(tract_costs: DataFrame, first: Sequence[str] = tuple(S.CONDITION_ORDER),
                      before: str = "Typical Uncontrolled", after: str = "Typical Controlled") -> DataFrame:
-    """Cost per tract and condition side by side, and what control saves; null if one is missing."""
-    def cost_of(condition: str) -> Column:
-        chosen = F.col("condition") == condition
-        total = sum_or_zero(F.when(chosen, F.col("economic_cost")))
-        return F.when(F.count_if(chosen) > 0, total).alias(f"economic_cost_{condition}")
+    """Cost per tract and condition side by side, and what control saves; null if one is missing.
 
-    wide = tract_costs.groupBy("GEOID", "NAMELSADCO").agg(*[cost_of(c) for c in conditions])
+    Columns: the conditions in `first`, then every other one in the data. The costs per tract and
+    condition are staged, as they are read twice.
+    """
+    costs = staged(cost_per(tract_costs, "GEOID", "NAMELSADCO", "condition"))
+    listed = [*first, *[c for c in (before, after) if c not in first]]
+
+    def cost_of(condition: str | None) -> Column:
+        chosen = F.col("condition").eqNullSafe(F.lit(condition))
+        return F.first(F.when(chosen, F.col("total_economic_cost")), ignorenulls=True).alias(
+            f"economic_cost_{column_label(condition)}")
+
+    wide = costs.groupBy("GEOID", "NAMELSADCO").agg(*[cost_of(c) for c in category_values(costs, "condition", listed)])
     return wide.withColumn(
         "delta_economic_cost", F.col(f"`economic_cost_{before}`") - F.col(f"`economic_cost_{after}`"))
 
@@ -143,10 +160,10 @@ def county_savings_rows(counties: DataFrame, savings: DataFrame) -> DataFrame:
 
 
 def county_savings(counties: DataFrame, savings: DataFrame) -> DataFrame:
-    """County savings proper: the sum over its tracts, one row per county."""
-    totals = savings.groupBy(F.col("NAMELSADCO").alias("NAMELSAD")).agg(
+    """County savings proper: the sum over its tracts by county id, so that equal names stay apart."""
+    totals = savings.groupBy(county_of(F.col("GEOID")).alias("GEOID")).agg(
         F.sum("delta_economic_cost").alias("delta_economic_cost"))
-    return counties.join(totals, "NAMELSAD", "left")
+    return counties.join(totals, "GEOID", "left")
 
 
 def tract_savings(tracts: DataFrame, savings: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from airtoll.operators.spatial import Cover, Grid
 
 YEARS = list(range(1995, 2002))
 COPIED = (2000, 2001)
+CONDITIONS = [*S.CONDITION_ORDER, "Idle Controlled"]  # the last one is in no display order
 CITY = "00003"  # county of the tract-level maps
 COVER = Cover(1.0, 1)
 GRID = Grid(0.0, 0.0, 40.0, 20.0, 0.25, 4)
@@ -39,6 +40,7 @@ COSTS = [
     ("Stroke", 140000.0), ("Asthma", 38000.0), ("Ischemic heart disease", 120000.0),
 ]
 SVI_PRIMES = [7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89]
+INVENTORY_YEARS = [str(year + 24) for year in YEARS]  # partly outside the declared years
 INVENTORY_NAMES = [*S.CRITERIA_OF_INVENTORY, "Cadmium", "Nickel"]
 
 
@@ -60,6 +62,11 @@ def condition() -> Column:
     return F.concat_ws(" ", operations, controls)
 
 
+def geoid() -> Column:
+    """County and tract number; tracts beyond a million get longer ids."""
+    return F.format_string("%05d%06d", "c_nationkey", "c_custkey")
+
+
 def level() -> Column:
     return F.abs("l_discount") * 100
 
@@ -68,25 +75,33 @@ def level() -> Column:
 
 
 def tracts(spark: SparkSession, folder: str) -> DataFrame:
-    """One unit square per customer, fifty to a row."""
+    """One unit square per customer, fifty to a row; every 97th tract has no shape. Some counties share a name."""
     x, y = (F.col("c_custkey") % 50).cast("double"), F.floor(F.col("c_custkey") / 50).cast("double")
     corners = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
     ring = F.array(*[F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in corners])
-    geoid = padded("c_custkey", 11)
     return table(spark, folder, "customer").select(
-        geoid.alias("GEOID"), F.substring(geoid, 6, 6).alias("TRACTCE"),
+        geoid().alias("GEOID"), F.format_string("%06d", "c_custkey").alias("TRACTCE"),
         (F.col("c_custkey") % 1000).cast("string").alias("NAME"),
-        F.concat(F.lit("County "), F.col("c_nationkey").cast("string")).alias("NAMELSADCO"),
+        F.concat(F.lit("County "), (F.col("c_nationkey") % 20).cast("string")).alias("NAMELSADCO"),
         padded("c_nationkey", 2).alias("STATEFP"),
         F.when(F.col("c_nationkey") % 2 == 0, "MD").otherwise("DC").alias("STUSPS"),
         padded("c_nationkey", 5).alias("county_fips"),
-        F.array(F.array(ring)).alias("polygons"), "c_custkey")
+        F.when(F.col("c_custkey") % 97 != 0, F.array(F.array(ring))).alias("polygons"), "c_custkey")
+
+
+def boundary_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tracts as in a boundary file: the shape as well-known text, two vintages."""
+    ring = F.array_join(F.transform(F.col("polygons")[0][0], lambda v: F.concat_ws(" ", v["x"], v["y"])), ", ")
+    shape = F.when(F.col("polygons").isNotNull(), F.concat(F.lit("POLYGON (("), ring, F.lit("))")))
+    return tracts(spark, folder).select(
+        "GEOID", "TRACTCE", "NAME", "NAMELSADCO", "STATEFP", "STUSPS", shape.alias("geometry"),
+        F.explode(F.array(F.lit(2010), F.lit(2021))).alias("vintage"))
 
 
 def counties(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "nation").select(
         padded("n_nationkey", 5).alias("GEOID"), F.col("n_name").alias("NAME"),
-        F.concat(F.lit("County "), F.col("n_nationkey").cast("string")).alias("NAMELSAD"))
+        F.concat(F.lit("County "), (F.col("n_nationkey") % 20).cast("string")).alias("NAMELSAD"))
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,19 +137,19 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def concentrations(spark: SparkSession, folder: str, scenario: str = "condition") -> DataFrame:
-    """One concentration per customer, pollutant and condition or year."""
+    """One concentration per customer, pollutant and condition or year; one condition is in no display order."""
     item = table(spark, folder, "lineitem")
-    key = condition() if scenario == "condition" else F.year("l_shipdate")
+    key = F.when(F.col("l_linenumber") % 7 == 0, CONDITIONS[-1]).otherwise(condition()) if scenario == "condition" else F.year("l_shipdate")
     owner = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     readings = item.select("l_orderkey", pollutant().alias("pollutant"), key.alias(scenario), level().alias("Conc"))
     means = readings.join(owner, "l_orderkey").groupBy(
         F.col("o_custkey").alias("c_custkey"), "pollutant", scenario).agg(F.avg("Conc").alias("Final_Conc"))
-    attributes = tracts(spark, folder).select("c_custkey", "GEOID", "TRACTCE", "NAME", "NAMELSADCO", "STATEFP", "county_fips")
+    attributes = tracts(spark, folder).select("c_custkey", "GEOID", "TRACTCE", "NAME", "NAMELSADCO", "STATEFP")
     return means.join(attributes, "c_custkey").drop("c_custkey")
 
 
-def demographics_long(spark: SparkSession, folder: str) -> DataFrame:
-    """Long rows for 1995-2000; some tracts have none, some no population."""
+def demographics_long(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
+    """Long rows for 1995-2000; some tracts have no population and, with gaps, every 101st has no rows."""
     key = F.col("c_custkey")
     estimates = {
         "total_pop": F.when(key % 29 != 0, 1000 + key % 5000 + (F.col("year") - 1995) * 10),
@@ -143,9 +158,11 @@ def demographics_long(spark: SparkSession, folder: str) -> DataFrame:
     }
     rows = F.array(*[F.struct(F.lit(name).alias("variable"), value.cast("double").alias("estimate"),
                               F.lit(5.0).alias("moe")) for name, value in estimates.items()])
-    vintages = table(spark, folder, "customer").filter(key % 101 != 0).select(
-        "c_custkey", F.explode(F.array(*[F.lit(y) for y in YEARS[:-1]])).alias("year"))
-    return vintages.select(padded("c_custkey", 11).alias("GEOID"),
+    customers = table(spark, folder, "customer")
+    customers = customers.filter(key % 101 != 0) if gaps else customers
+    vintages = customers.select(
+        "c_custkey", "c_nationkey", F.explode(F.array(*[F.lit(y) for y in YEARS[:-1]])).alias("year"))
+    return vintages.select(geoid().alias("GEOID"),
                            F.concat(F.lit("Tract "), key.cast("string")).alias("NAME"), "year", F.inline(rows))
 
 
@@ -160,18 +177,19 @@ def demographics(spark: SparkSession, folder: str) -> DataFrame:
     return D.strip_estimate_suffix(D.drop_margins(demographics_wide(spark, folder)))
 
 
-def demographics_by_year(spark: SparkSession, folder: str) -> DataFrame:
-    return D.copy_vintage(D.widen_demographics(demographics_long(spark, folder)), *COPIED)
+def demographics_by_year(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
+    return D.copy_vintage(D.widen_demographics(demographics_long(spark, folder, gaps)), *COPIED)
 
 
-def rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Text rates per nation and year; nation 7 has none and nation 11 an unreadable one."""
+def rates(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
+    """Text rates per nation and year; nation 11 has an unreadable one and, with gaps, nation 7 none."""
     n, step = F.col("n_nationkey"), F.col("year") - 1995
     values = {
         "mortality_rate": 700 + 10 * n + step, "diabetes_rate": 90 + n + step, "cancer_rate": 50 + 2 * n,
         "stroke_rate": 40 + n, "asthma_rate": 60 + n, "ihd_rate": 120 + 3 * n, "copd_rate": 30 + n,
     }
-    nations = table(spark, folder, "nation").filter(n != 7).select(
+    nations = table(spark, folder, "nation")
+    nations = (nations.filter(n != 7) if gaps else nations).select(
         "n_nationkey", F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("year"))
     text = {name: value.cast("string") for name, value in values.items()}
     text["asthma_rate"] = F.when(n == 11, "NA").otherwise(text["asthma_rate"])
@@ -233,7 +251,7 @@ def svi(spark: SparkSession, folder: str) -> DataFrame:
         if name == "RPL_THEMES":
             value = F.when(key % 23 == 0, -999.0).otherwise(value)
         columns.append(value.alias(name))
-    return table(spark, folder, "customer").select(padded("c_custkey", 11).alias("FIPS"), *columns)
+    return table(spark, folder, "customer").select(geoid().alias("FIPS"), *columns)
 
 
 def vulnerability(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,6 +262,13 @@ def vulnerability(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("additional_cases", pushed)
 
 
+def vulnerability_themes(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases so small that ratios stay finite; two theme ranks push them."""
+    rows = vulnerability_table(cases(spark, folder), svi(spark, folder))
+    pushed = F.col("additional_cases") * 0.0001 + F.col("SVI_SES") * 0.0005 + F.col("SVI_HTT") * 0.0003
+    return rows.withColumn("additional_cases", pushed)
+
+
 # --- text reports -----------------------------------------------------------------------
 
 
@@ -265,6 +290,17 @@ def run_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.col("run"), F.lit("_RUN.log")).alias("file_name"), lines.alias("line"))
 
 
+def full_year_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs of a whole year, one per 500th event; every third lacks a day and every second is open."""
+    event = F.col("event_id")
+    days = F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.when(
+        (event % 1500 != 0) | (d != 100), F.format_string("+Now Processing Data For Day No. %4d of 2024", d)))
+    closing = F.when(event % 1000 == 0, F.lit("+Now Processing Output Options"))
+    return table(spark, folder, "events").filter(event % 500 == 0).select(
+        F.concat(F.lit("Full"), event.cast("string"), F.lit(" Typical Controlled PM_RUN.log")).alias("file_name"),
+        F.explode(F.array_compact(F.concat(days, F.array(closing)))).alias("line"))
+
+
 def downwash_lines(spark: SparkSession, folder: str) -> DataFrame:
     flow = F.format_string("      Wind flow passing %3d degree direction.", (F.col("event_id") % 36 + 1) * 10)
     grouped = F.when((F.col("event_type") == "click") & (F.col("user_id") % 2 == 0),
@@ -276,12 +312,14 @@ def downwash_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def warning_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A message row per event; only those of error events carry a warning code."""
+    kind = F.when(F.col("event_type") == "error", F.lit("W")).otherwise(F.lit("N"))
     message = F.concat(F.lit("Check input value "), (F.col("user_id") % 7).cast("string"))
-    line = F.concat(F.lit("CO W"), F.lpad((F.col("user_id") % 1000).cast("string"), 3, "0"), F.lit(" "),
+    line = F.concat(F.lit("CO "), kind, F.lpad((F.col("user_id") % 1000).cast("string"), 3, "0"), F.lit(" "),
                     F.lpad((F.col("event_id") % 100).cast("string"), 5, " "), F.lit(" "),
                     F.rpad(F.upper("event_type"), 15, " "), F.lit(" "), F.rpad(message, 50, " "), F.lit(" "),
                     F.when(F.col("user_id") % 2 == 0, F.lit("HINT")).otherwise(F.lit("")))
-    return table(spark, folder, "events").filter(F.col("event_type") == "error").select(
+    return table(spark, folder, "events").select(
         F.concat((F.year("ts") - F.col("event_id") % 3).cast("string"), F.lit(" site.OUT")).alias("file_name"),
         line.alias("line"))
 
@@ -291,44 +329,50 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sector_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as cells of a site's sectors; four suppliers are a site."""
     return table(spark, folder, "lineitem").select(
-        (F.year("l_shipdate") + 19).alias("year"), (F.col("l_suppkey") % 12 + 1).cast("int").alias("sector"),
+        (F.year("l_shipdate") + 19).alias("year"), F.floor(F.col("l_suppkey") / 4).alias("site"),
+        (F.col("l_partkey") % 12 + 1).cast("int").alias("sector"),
         F.month("l_shipdate").alias("month"), "l_linenumber", F.col("l_quantity").cast("int").alias("class"))
 
 
 def site_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Land-surface characteristics files: sector bounds and values."""
-    rows = _sector_items(spark, folder).groupBy("year", "sector").agg(
+    rows = _sector_items(spark, folder).groupBy("year", "site", "sector").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("s"))
     bounds = F.format_string("   SECTOR  %2d  %6.2f  %6.2f", "sector",
                              (F.col("sector") - 1) * 30.0, F.col("sector") * 30.0)
     values = F.format_string("   SITE_CHAR    1      %2d     %.2f     %.2f     %.3f", "sector",
                              F.col("n") % 100 / 100.0, F.col("s") % 150 / 100.0, F.col("s") % 1000 / 1000.0)
-    return rows.select(F.concat(F.col("year").cast("string"), F.lit(" site_sfc.TXT")).alias("file_name"),
+    return rows.select(F.format_string("%d S%d_sfc.TXT", "year", "site").alias("file_name"),
                        F.explode(F.array(bounds, values)).alias("line"))
 
 
 def month_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly roughness tables of the run logs."""
+    """Monthly roughness tables of the run logs; at even sites they agree with the annual value."""
     months = list(range(1, 13))
-    wide = _sector_items(spark, folder).groupBy("year", "sector").pivot("month", months).agg(
-        F.sum("l_linenumber"))
-    cells = [F.format_string("%9.3f", F.coalesce(F.col(f"`{m}`") % 1000, F.lit(0)) / 1000.0) for m in months]
+    wide = _sector_items(spark, folder).groupBy("year", "site", "sector").agg(
+        F.sum("l_linenumber").alias("s"),
+        *[F.sum(F.when(F.col("month") == m, F.col("l_linenumber")).otherwise(0)).alias(f"s{m}") for m in months])
+    even = F.col("site") % 2 == 0
+    cells = [F.format_string("%9.3f", F.when(even, F.col("s") % 1000 + (4 if m == 1 else 0)).otherwise(F.col(f"s{m}") % 1000)
+                             / 1000.0) for m in months]
     head = F.format_string("%4d %7.1f", "sector", (F.col("sector") - 1) * 30.0)
-    return wide.select(F.concat(F.col("year").cast("string"), F.lit(" site.LOG")).alias("file_name"),
+    return wide.select(F.format_string("%d S%d.LOG", "year", "site").alias("file_name"),
                        F.concat(head, *cells).alias("line"))
 
 
 def cover_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Land-cover count tables of the run logs, with their Total row."""
+    """Land-cover count tables of the run logs, with their Total row, which is wrong at every fifth site."""
     sectors = list(range(1, 13))
     wide = _sector_items(spark, folder).groupingSets(
-        [[F.col("year"), F.col("class")], [F.col("year")]], F.col("year"), F.col("class"),
+        [[F.col("year"), F.col("site"), F.col("class")], [F.col("year"), F.col("site")]], F.col("year"), F.col("site"), F.col("class"),
     ).agg(F.grouping("class").alias("total"),
           *[F.count_if(F.col("sector") == s).alias(f"n{s}") for s in sectors])
+    wide = wide.withColumn("n1", F.col("n1") + F.when((F.col("total") == 1) & (F.col("site") % 5 == 0), 1).otherwise(0))
     head = F.when(F.col("total") == 1, F.lpad(F.lit("Total:"), 36, " ")).otherwise(
         F.format_string("%3d %31s:", "class", F.concat(F.lit("Class "), F.col("class").cast("string"))))
-    return wide.select(F.concat(F.col("year").cast("string"), F.lit(" site.LOG")).alias("file_name"),
+    return wide.select(F.format_string("%d S%d.LOG", "year", "site").alias("file_name"),
                        F.concat(head, *[F.format_string("%9d", f"n{s}") for s in sectors]).alias("line"))
 
 
@@ -338,8 +382,8 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("registry_id"),
         F.element_at(names, (F.col("l_partkey") % len(INVENTORY_NAMES) + 1).cast("int")).alias("pollutant_name"),
-        (F.year("l_shipdate") + 19).cast("string").alias("year"), F.col("l_quantity").cast("long").alias("q"))
-    wide = items.groupBy("registry_id", "pollutant_name").pivot("year", S.INVENTORY_YEARS).agg(F.sum("q"))
+        (F.year("l_shipdate") + 24).cast("string").alias("year"), F.col("l_quantity").cast("long").alias("q"))
+    wide = items.groupBy("registry_id", "pollutant_name").pivot("year", INVENTORY_YEARS).agg(F.sum("q"))
     cells = [F.when(F.col(f"`{y}`") % 7 == 0, "NA").otherwise(F.col(f"`{y}`").cast("string")).alias(y)
-             for y in S.INVENTORY_YEARS]
+             for y in INVENTORY_YEARS]
     return wide.select("registry_id", "pollutant_name", F.lit("Pounds").alias("unit_of_measure"), *cells)

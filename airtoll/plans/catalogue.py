@@ -21,7 +21,8 @@ from airtoll.operators import rollup as U
 from airtoll.operators import spatial as G
 from airtoll.plans import bindings as B
 from airtoll.sources import reports as P
-from airtoll.sources.staging import staged
+from airtoll.sources import emissions, sinks, tables
+from airtoll.sources.staging import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,8 +60,9 @@ def s4_scenario_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p1_drop_empty_columns(spark: SparkSession, folder: str) -> DataFrame:
-    return R.drop_empty_columns(B.receptors(spark, folder)).groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("X").alias("min_x"), F.max("Y").alias("max_y"))
+    rows = R.drop_empty_columns(B.receptors(spark, folder))
+    return rows.groupBy("file_name").agg(
+        F.lit(", ".join(rows.columns)).alias("kept_columns"), F.count(F.lit(1)).alias("rows"), F.min("X").alias("min_x"), F.max("Y").alias("max_y"))
 
 
 @query
@@ -102,6 +104,59 @@ def g4_nearest_place(spark: SparkSession, folder: str) -> DataFrame:
     return G.nearest_place(sites, B.places(spark, folder), ["X", "Y"], B.TOWN_GRID)
 
 
+# --- exchanged files: a table is written out and read back --------------------------------
+
+
+def _as_csv(df: DataFrame) -> str:
+    path = scratch_path(df.sparkSession)
+    sinks.write_table(df, path, fmt="csv")
+    return path
+
+
+@query
+def s5_incidence_file(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read_incidence(spark, _as_csv(B.rates(spark, folder)))
+
+
+@query
+def s6_demographics_file(spark: SparkSession, folder: str) -> DataFrame:
+    return D.widen_demographics(tables.read_demographics_long(spark, _as_csv(B.demographics_long(spark, folder))))
+
+
+@query
+def s7_wide_demographics_file(spark: SparkSession, folder: str) -> DataFrame:
+    wide = tables.read_demographics_wide(spark, _as_csv(B.demographics_wide(spark, folder)))
+    return D.strip_estimate_suffix(D.drop_margins(wide))
+
+
+@query
+def s8_boundaries_file(spark: SparkSession, folder: str) -> DataFrame:
+    shapes = tables.read_boundaries(spark, [_as_csv(B.boundary_texts(spark, folder))], vintage=2021)
+    corners = F.flatten(F.flatten("polygons"))
+    return shapes.select("GEOID", "STUSPS", F.array_min(corners["x"]).alias("west"), F.array_min(corners["y"]).alias("south"),
+                         F.when(F.col("polygons").isNotNull(), F.size(corners)).alias("vertices"), "vintage")
+
+
+@query
+def s10_vulnerability_file(spark: SparkSession, folder: str) -> DataFrame:
+    return V.clean_svi(tables.read_svi(spark, _as_csv(B.svi(spark, folder))))
+
+
+@query
+def s12_monitor_files(spark: SparkSession, folder: str) -> DataFrame:
+    monitors = rounded(R.reformat_receptors(B.receptors(spark, folder)), {"Latitude": 7, "Longitude": 7})
+    path = scratch_path(spark)
+    sinks.write_reformatted(monitors, path)
+    back = tables.read_monitors(spark, path)
+    return back.select("*", *[v.alias(k) for k, v in R.year_keys(F.col("file_name")).items()])
+
+
+@query
+def s13_inventory_file(spark: SparkSession, folder: str) -> DataFrame:
+    long = N.unpivot_inventory(emissions.read_inventory(spark, _as_csv(B.inventory(spark, folder))))
+    return long.select("registry_id", "pollutant_name", "year", "pounds")
+
+
 # --- tract concentrations ---------------------------------------------------------------
 
 
@@ -156,14 +211,14 @@ def r1_demographics_wide(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def j4_conc_demographics(spark: SparkSession, folder: str) -> DataFrame:
     joined = D.add_demographics(B.concentrations(spark, folder, "year"),
-                                B.demographics_by_year(spark, folder), ["GEOID", "year"])
+                                B.demographics_by_year(spark, folder, gaps=True), ["GEOID", "year"])
     return rounded(joined, {"Final_Conc": 8})
 
 
 @query
 def j4_unmatched_tracts(spark: SparkSession, folder: str) -> DataFrame:
     return D.unmatched_tracts(B.concentrations(spark, folder, "year"),
-                              B.demographics_by_year(spark, folder), ["GEOID", "year"])
+                              B.demographics_by_year(spark, folder, gaps=True), ["GEOID", "year"])
 
 
 @query
@@ -180,14 +235,16 @@ def d2_county_of_tract(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def j6_rates_left(spark: SparkSession, folder: str) -> DataFrame:
-    rows = I.add_rates(B.concentrations(spark, folder, "year"), B.rates(spark, folder), ["county_fips", "year"])
+    air = B.concentrations(spark, folder, "year").withColumn("county_fips", D.county_of(F.col("GEOID")))
+    rows = I.add_rates(air, B.rates(spark, folder, gaps=True), ["county_fips", "year"])
     return rounded(rows.select("GEOID", "pollutant", "year", "county_fips", "Final_Conc", *S.ENDPOINT_OF_RATE),
                    {"Final_Conc": 8})
 
 
 @query
 def j7_rates_latest_inner(spark: SparkSession, folder: str) -> DataFrame:
-    rows = I.add_rates(B.concentrations(spark, folder), I.latest_rates(B.rates(spark, folder)), missing_rates="drop")
+    air = B.concentrations(spark, folder).withColumn("county_fips", D.county_of(F.col("GEOID")))
+    rows = I.add_rates(air, I.latest_rates(B.rates(spark, folder, gaps=True)), missing_rates="drop")
     return rounded(rows.select("GEOID", "pollutant", "condition", "county_fips", "Final_Conc", *S.ENDPOINT_OF_RATE),
                    {"Final_Conc": 8})
 
@@ -273,13 +330,13 @@ def _measures(values: list) -> list[str]:
 @query
 def d18_damage_wide(spark: SparkSession, folder: str) -> DataFrame:
     wide = U.damage_wide(_priced(spark, folder), "condition", S.CONDITION_ORDER)
-    return U.in_display_order(rounded(wide, {c: 6 for c in _measures(S.CONDITION_ORDER)}), "pollutant_rank")
+    return U.in_display_order(rounded(wide, {c: 6 for c in _measures(B.CONDITIONS)}), "pollutant_rank")
 
 
 @query
 def d18_damage_wide_by_year(spark: SparkSession, folder: str) -> DataFrame:
-    wide = U.damage_wide(_priced(spark, folder, "year"), "year", B.YEARS)
-    return rounded(wide, {c: 6 for c in _measures(B.YEARS)})
+    wide = U.damage_wide(_priced(spark, folder, "year"), "year")
+    return rounded(wide, {c: 6 for c in wide.columns if c.startswith("total_")})
 
 
 @query
@@ -320,7 +377,7 @@ def d15_county_tracts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def d12_savings(spark: SparkSession, folder: str) -> DataFrame:
     savings = U.scenario_savings(B.tract_costs(spark, folder))
-    return rounded(savings, {f"economic_cost_{c}": 2 for c in S.CONDITION_ORDER} | {"delta_economic_cost": 2})
+    return rounded(savings, {f"economic_cost_{c}": 2 for c in B.CONDITIONS} | {"delta_economic_cost": 2})
 
 
 @query
@@ -387,6 +444,16 @@ def _univariate(spark: SparkSession, folder: str) -> DataFrame:
     return M.univariate_fits(rows, SCENARIO, "scaled_cases", S.INDICATORS)
 
 
+def _theme_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return V.mortality_rows(B.vulnerability_themes(spark, folder))
+
+
+def _themes(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratios of the theme ranks, from which formatting, selection and the joint models go on."""
+    fits = M.univariate_fits(_theme_rows(spark, folder), SCENARIO, "scaled_cases", S.THEME_RANKS)
+    return M.add_interval(fits, exponentiate=True)
+
+
 def _pooled(spark: SparkSession, folder: str) -> DataFrame:
     return M.univariate_fits(V.pooled_tracts(B.vulnerability(spark, folder)), ["condition"],
                              "total_scaled_cases", S.INDICATORS)
@@ -406,11 +473,9 @@ def t1_p_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def t2_themes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = V.mortality_rows(B.vulnerability(spark, folder), 1.0)
-    fits = M.univariate_fits(rows, SCENARIO, "scaled_cases", S.THEME_RANKS)
-    return rounded(M.add_interval(fits, exponentiate=True, with_p=False).select(
-        *SCENARIO, "svi_variable", "estimate", "conf_low", "conf_high", "df"),
-        {"estimate": 7, "conf_low": 7, "conf_high": 7})
+    return rounded(_themes(spark, folder).select(
+        *SCENARIO, "svi_variable", "estimate", "conf_low", "conf_high", "p_value", "df"),
+        {"estimate": 7, "conf_low": 7, "conf_high": 7, "p_value": 9})
 
 
 @query
@@ -421,28 +486,43 @@ def t3_unstratified(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def t5_selected(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = M.significant(_themes(spark, folder), SCENARIO)
+    return M.selected_lists(chosen, SCENARIO).withColumn("svi_variables", F.array_join("svi_variables", " + "))
+
+
+@query
+def t5_selected_indicators(spark: SparkSession, folder: str) -> DataFrame:
     chosen = M.significant(M.add_interval(_univariate(spark, folder)), SCENARIO)
     return M.selected_lists(chosen, SCENARIO).withColumn("svi_variables", F.array_join("svi_variables", " + "))
 
 
 @query
 def a14_selected_map(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = M.significant(M.add_interval(_univariate(spark, folder)), SCENARIO)
+    chosen = M.significant(_themes(spark, folder), SCENARIO)
     maps = M.selection_map(chosen, "pollutant", "condition")
     text = F.transform(F.map_entries("condition_lists"), lambda e: F.concat(
         e["key"], F.lit(": "), F.array_join(e["value"], " + ")))
     return maps.select("pollutant", F.array_join(text, "; ").alias("condition_lists"))
 
 
-@query
-def t6_multivariate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = staged(V.mortality_rows(B.vulnerability(spark, folder)))
-    fitted = M.univariate_fits(rows, SCENARIO, "scaled_cases", S.INDICATORS)
+def _joint(rows: DataFrame, variables: list[str]) -> DataFrame:
+    rows = staged(rows.select(*SCENARIO, "scaled_cases", *variables, "Final_Conc"))
+    fitted = M.univariate_fits(rows, SCENARIO, "scaled_cases", variables)
     chosen = M.selected_lists(M.significant(M.add_interval(fitted), SCENARIO), SCENARIO)
-    fits = M.multivariate_fits(rows, SCENARIO, "scaled_cases", S.INDICATORS, ["Final_Conc"], chosen, False)
+    fits = M.multivariate_fits(rows, SCENARIO, "scaled_cases", variables, ["Final_Conc"], chosen, False)
     return rounded(M.add_interval(fits), FIT_DIGITS | {"p_value": 9})
 
 
+@query
+def t6_multivariate(spark: SparkSession, folder: str) -> DataFrame:
+    return _joint(_theme_rows(spark, folder), S.THEME_RANKS)
+
+
+@query
+def t6_multivariate_indicators(spark: SparkSession, folder: str) -> DataFrame:
+    return _joint(V.mortality_rows(B.vulnerability(spark, folder)), S.INDICATORS)
+
+
 def _pooled_multivariate(spark: SparkSession, folder: str) -> DataFrame:
     rows = staged(V.pooled_tracts(B.vulnerability(spark, folder)))
     fitted = M.univariate_fits(rows, ["condition"], "total_scaled_cases", S.INDICATORS)
@@ -467,9 +547,19 @@ def t9_coefficient_plot(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def t10_formatted(spark: SparkSession, folder: str) -> DataFrame:
+    return V.formatted_results(_themes(spark, folder), ["pollutant"])
+
+
+@query
+def t10_formatted_indicators(spark: SparkSession, folder: str) -> DataFrame:
     return V.formatted_results(M.add_interval(_univariate(spark, folder)), ["pollutant"])
 
 
+@query
+def t10_formatted_pooled(spark: SparkSession, folder: str) -> DataFrame:
+    return V.formatted_results(M.add_interval(_pooled(spark, folder)), [])
+
+
 @query
 def k_str6_number_text(spark: SparkSession, folder: str) -> DataFrame:
     parts = B.table(spark, folder, "part").select("p_partkey", (F.col("p_retailprice") / 8).alias("v"))
@@ -508,7 +598,8 @@ def x4_run_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def x5_run_completeness(spark: SparkSession, folder: str) -> DataFrame:
-    return A.run_completeness(P.run_days(B.run_lines(spark, folder)))
+    lines = B.run_lines(spark, folder).unionByName(B.full_year_lines(spark, folder))
+    return A.run_completeness(P.run_days(lines))
 
 
 @query

@@ -43,7 +43,8 @@ POLLUTANT = "CASE l_returnflag WHEN 'A' THEN 'PM' WHEN 'N' THEN 'NOx' ELSE 'SO2'
 CONDITION = ("(CASE WHEN l_linenumber % 3 = 0 THEN 'Max' ELSE 'Typical' END || ' ' || "
              "CASE l_linestatus WHEN 'F' THEN 'Controlled' ELSE 'Uncontrolled' END)")
 LEVEL = "abs(l_discount) * 100"
-GEOID = "lpad(CAST(c_custkey AS VARCHAR), 11, '0')"
+IDLE_CONDITION = f"CASE WHEN l_linenumber % 7 = 0 THEN 'Idle Controlled' ELSE {CONDITION} END"
+GEOID = "printf('%05d%06d', c_nationkey, c_custkey)"
 SVI_SQL = ", ".join(
     f"c_custkey * {prime} % 1000 / {1000.0 if i < 5 else 10.0} AS {new}"
     for i, ((_, new), prime) in enumerate(zip(SVI_NAMES, B.SVI_PRIMES, strict=True)))
@@ -61,15 +62,16 @@ def _tail(t: str, df: str) -> str:
             + {sine} * list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: {odd}))) END"""
 
 
-def _models(tag: str, keys: list[str], source: str, outcome: str, always: list[str], chosen: str) -> dict[str, str]:
+def _models(tag: str, keys: list[str], source: str, outcome: str, always: list[str], chosen: str,
+            variables: list[str] = S.INDICATORS) -> dict[str, str]:
     """Views of one multi-variable model per group: chosen variables followed by the `always` terms.
 
     model_{tag}(keys, term, b, se, df, n). A value list per row ends with the outcome.
     """
     key = ", ".join(keys)
     named = ", ".join(f"r.{k}" for k in keys)
-    cases = " ".join(f"WHEN '{v}' THEN r.{v}" for v in (*S.INDICATORS, *always))
-    order = "[" + ", ".join(_text(v) for v in (*S.INDICATORS, *always)) + "]"
+    cases = " ".join(f"WHEN '{v}' THEN r.{v}" for v in (*variables, *always))
+    order = "[" + ", ".join(_text(v) for v in (*variables, *always)) + "]"
     return {
         f"terms_{tag}": f"""
             SELECT {key}, list_filter({order}, lambda v: list_contains(vars, v) OR list_contains({always!r}, v)) AS terms
@@ -110,17 +112,17 @@ def _models(tag: str, keys: list[str], source: str, outcome: str, always: list[s
 
 VIEWS: dict[str, str] = {
     "tract": f"""
-        SELECT c_custkey, {GEOID} AS GEOID, substr({GEOID}, 6, 6) AS TRACTCE,
-               CAST(c_custkey % 1000 AS VARCHAR) AS NAME, 'County ' || c_nationkey AS NAMELSADCO,
+        SELECT c_custkey, {GEOID} AS GEOID, printf('%06d', c_custkey) AS TRACTCE,
+               CAST(c_custkey % 1000 AS VARCHAR) AS NAME, 'County ' || c_nationkey % 20 AS NAMELSADCO,
                lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS STATEFP,
                CASE WHEN c_nationkey % 2 = 0 THEN 'MD' ELSE 'DC' END AS STUSPS,
                lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS county_fips,
-               CAST(c_custkey % 50 AS DOUBLE) AS x0, CAST(c_custkey // 50 AS DOUBLE) AS y0
+               CASE WHEN c_custkey % 97 <> 0 THEN CAST(c_custkey % 50 AS DOUBLE) END AS x0, CAST(c_custkey // 50 AS DOUBLE) AS y0
         FROM customer""",
     "city_tract": f"SELECT GEOID, NAME, NAMELSADCO FROM tract WHERE county_fips = '{B.CITY}'",
     "county": """
         SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS GEOID, n_name AS NAME,
-               'County ' || n_nationkey AS NAMELSAD FROM nation""",
+               'County ' || n_nationkey % 20 AS NAMELSAD FROM nation""",
     "point": f"""
         SELECT {POLLUTANT} AS pollutant, {CONDITION} AS condition,
                2 * (l_partkey % 20) + (l_orderkey * 7 + l_linenumber * 13) % 1000 / 1000.0::DOUBLE
@@ -139,7 +141,7 @@ VIEWS: dict[str, str] = {
     "empty_tract": """
         SELECT s.pollutant, s.condition, t.GEOID, t.x0, t.y0
         FROM tract t, (SELECT DISTINCT pollutant, condition FROM point) s
-        WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.GEOID = t.GEOID AND i.pollutant = s.pollutant
+        WHERE t.x0 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.GEOID = t.GEOID AND i.pollutant = s.pollutant
                           AND i.condition = s.condition)""",
     "distance": """
         SELECT e.pollutant, e.condition, e.GEOID, s.x, s.y, s.conc,
@@ -180,15 +182,16 @@ VIEWS: dict[str, str] = {
             + row_number() OVER (PARTITION BY r.file_name ORDER BY Y, X, conc NULLS LAST) AS id
         FROM receptor r JOIN (SELECT file_name, row_number() OVER (ORDER BY file_name) - 1 AS at
                               FROM (SELECT DISTINCT file_name FROM receptor)) f USING (file_name)""",
-    "people": """
-        SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS GEOID, 'Tract ' || c_custkey AS NAME,
+    "people": f"""
+        SELECT c_custkey, {GEOID} AS GEOID, 'Tract ' || c_custkey AS NAME,
                least(y.year, 2000) AS vintage, y.year,
                CASE WHEN c_custkey % 29 <> 0
                     THEN CAST(1000 + c_custkey % 5000 + (least(y.year, 2000) - 1995) * 10 AS DOUBLE) END AS total_pop,
                CAST(c_custkey * 7 % 3000 AS DOUBLE) AS white, CAST(c_custkey * 11 % 2000 AS DOUBLE) AS black,
                CAST(c_custkey * 13 % 500 AS DOUBLE) AS asian, CAST(c_custkey * 17 % 700 AS DOUBLE) AS hispanic,
                CAST(30000 + c_custkey * 19 % 90000 AS DOUBLE) AS median_income
-        FROM customer, (SELECT unnest(range(1995, 2002)) AS year) y WHERE c_custkey % 101 <> 0""",
+        FROM customer, (SELECT unnest(range(1995, 2002)) AS year) y""",
+    "some_people": "SELECT * FROM people WHERE c_custkey % 101 <> 0",
     "rate": """
         SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS county_fips, y.year,
                CAST(700 + 10 * n_nationkey + y.year - 1995 AS VARCHAR) AS mortality_rate,
@@ -198,12 +201,13 @@ VIEWS: dict[str, str] = {
                CASE WHEN n_nationkey = 11 THEN 'NA' ELSE CAST(60 + n_nationkey AS VARCHAR) END AS asthma_rate,
                CAST(120 + 3 * n_nationkey AS VARCHAR) AS ihd_rate,
                CAST(30 + n_nationkey AS VARCHAR) AS copd_rate
-        FROM nation, (SELECT unnest(range(1995, 2002)) AS year) y WHERE n_nationkey <> 7""",
+        FROM nation, (SELECT unnest(range(1995, 2002)) AS year) y""",
+    "some_rate": "SELECT * FROM rate WHERE county_fips <> '00007'",
     "risk": f"SELECT * FROM (VALUES {_rows(B.RISKS)}) t(pollutant, endpoint, RR)",
     "unit_cost": f"SELECT * FROM (VALUES {_rows(B.COSTS)}) t(endpoint, unit)",
     "conc_c": f"""
         SELECT t.*, pollutant, condition, Final_Conc FROM (
-            SELECT o_custkey, {POLLUTANT} AS pollutant, {CONDITION} AS condition, avg({LEVEL}) AS Final_Conc
+            SELECT o_custkey, {POLLUTANT} AS pollutant, {IDLE_CONDITION} AS condition, avg({LEVEL}) AS Final_Conc
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) JOIN tract t ON c_custkey = o_custkey""",
     "conc_y": f"""
         SELECT t.*, pollutant, year, Final_Conc FROM (
@@ -248,7 +252,7 @@ VIEWS: dict[str, str] = {
         SELECT GEOID, NAMELSADCO, """ + ", ".join(
         f"""CASE WHEN count(*) FILTER (WHERE condition = {_text(c)}) > 0
                  THEN coalesce(sum(cost) FILTER (WHERE condition = {_text(c)}), 0) END AS "economic_cost_{c}" """
-        for c in S.CONDITION_ORDER) + " FROM tract_cost GROUP BY ALL",
+        for c in B.CONDITIONS) + " FROM tract_cost GROUP BY ALL",
     "delta": """
         SELECT *, "economic_cost_Typical Uncontrolled" - "economic_cost_Typical Controlled" AS delta FROM saving""",
     "svi0": f"SELECT c_custkey, {GEOID} AS FIPS, {SVI_SQL} FROM customer",
@@ -271,13 +275,18 @@ VIEWS: dict[str, str] = {
         FROM (SELECT pollutant, condition, cases * 1000 AS y, unnest([
             {', '.join(f"struct_pack(v := '{c}', x := {c})" for c in S.INDICATORS)}], recursive := true)
             FROM mortality) GROUP BY ALL""",
+    "theme_row": """
+        SELECT s.*, c.pollutant, c.condition, c.Final_Conc,
+               additional_cases * 0.0001::DOUBLE + SVI_SES * 0.0005::DOUBLE + SVI_HTT * 0.0003::DOUBLE AS cases
+        FROM case_c c JOIN svi s ON s.FIPS = c.GEOID
+        WHERE endpoint = 'All-cause mortality' AND additional_cases IS NOT NULL""",
     "fit_t": f"""
         SELECT pollutant, condition, v AS svi_variable, regr_slope(y, x) AS b, regr_count(y, x) AS n,
                sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0)
                    / (regr_count(y, x) - 2) / regr_sxx(y, x)) AS se
-        FROM (SELECT pollutant, condition, cases AS y, unnest([
+        FROM (SELECT pollutant, condition, cases * 1000 AS y, unnest([
             {', '.join(f"struct_pack(v := '{c}', x := {c})" for c in S.THEME_RANKS)}], recursive := true)
-            FROM mortality) GROUP BY ALL""",
+            FROM theme_row) GROUP BY ALL""",
     "fit_p": f"""
         SELECT condition, v AS svi_variable, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
                regr_count(y, x) AS n, sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0)
@@ -291,6 +300,11 @@ VIEWS: dict[str, str] = {
             SELECT *, {NORMAL_975!r} AS z, n - 2 AS df FROM fit_c)
         WHERE abs(b / se) > z + (pow(z, 3) + z) / (4 * df)
             + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96.0::DOUBLE * df * df)""",
+    "selected_t": f"""
+        SELECT pollutant, condition, svi_variable FROM (
+            SELECT *, {NORMAL_975!r} AS z, n - 2 AS df FROM fit_t)
+        WHERE abs(b / se) > z + (pow(z, 3) + z) / (4 * df)
+            + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96.0::DOUBLE * df * df)""",
     "selected_p": f"""
         SELECT condition, svi_variable FROM (SELECT *, {NORMAL_975!r} AS z, n - 2 AS df FROM fit_p)
         WHERE abs(b / se) > z + (pow(z, 3) + z) / (4 * df)
@@ -299,6 +313,10 @@ VIEWS: dict[str, str] = {
         SELECT g.pollutant, g.condition, list(svi_variable) AS vars
         FROM (SELECT DISTINCT pollutant, condition FROM mortality) g LEFT JOIN selected s
             ON s.pollutant = g.pollutant AND s.condition = g.condition GROUP BY ALL"""),
+    **_models("t", ["pollutant", "condition"], "theme_row", "r.cases * 1000", ["Final_Conc"], """
+        SELECT g.pollutant, g.condition, list(svi_variable) AS vars
+        FROM (SELECT DISTINCT pollutant, condition FROM theme_row) g LEFT JOIN selected_t s
+            ON s.pollutant = g.pollutant AND s.condition = g.condition GROUP BY ALL""", S.THEME_RANKS),
     **_models("p", ["condition"], "pooled", "r.outcome", ["Final_Conc", "total_pop"],
               "SELECT condition, list(svi_variable) AS vars FROM selected_p GROUP BY ALL"),
     "event": """
@@ -311,17 +329,26 @@ VIEWS: dict[str, str] = {
                split_part(run, ' ', 2) || ' ' || split_part(run, ' ', 3) AS scenario,
                split_part(run, ' ', 4) AS pollutant FROM event""",
     "day": "SELECT DISTINCT run || '_RUN.log' AS file_name, dayofyear(ts) AS day FROM event",
+    "run_line": """
+        SELECT run || '_RUN.log' AS file_name, year(ts) AS y, dayofyear(ts) AS d, false AS c FROM event
+        UNION ALL SELECT run || '_RUN.log', NULL, NULL, true FROM event WHERE event_type = 'signup'
+        UNION ALL SELECT 'Full' || event_id || ' Typical Controlled PM_RUN.log', 2024, days.d, false
+        FROM events, (SELECT unnest(range(1, 367)) AS d) days
+        WHERE event_id % 500 = 0 AND (event_id % 1500 <> 0 OR days.d <> 100)
+        UNION ALL SELECT 'Full' || event_id || ' Typical Controlled PM_RUN.log', NULL, NULL, true FROM events
+        WHERE event_id % 1000 = 0""",
     "sector_item": """
-        SELECT year(l_shipdate) + 19 AS year, l_suppkey % 12 + 1 AS sector, month(l_shipdate) AS month,
+        SELECT year(l_shipdate) + 19 AS year, l_suppkey // 4 AS site_no, l_partkey % 12 + 1 AS sector, month(l_shipdate) AS month,
                l_linenumber, CAST(l_quantity AS INTEGER) AS class FROM lineitem""",
     "site_value": """
-        SELECT year, sector, count(*) % 100 / 100.0::DOUBLE AS albedo,
+        SELECT year, site_no, 'S' || site_no AS site, sector, count(*) % 100 / 100.0::DOUBLE AS albedo,
+               CAST(sum(l_linenumber) AS BIGINT) % 1000 AS s,
                CAST(sum(l_linenumber) AS BIGINT) % 150 / 100.0::DOUBLE AS bowen,
                CAST(sum(l_linenumber) AS BIGINT) % 1000 / 1000.0::DOUBLE AS roughness
         FROM sector_item GROUP BY ALL""",
     "inventory": """
         SELECT CAST(l_suppkey AS VARCHAR) AS registry_id, [{names}][l_partkey % {count} + 1] AS pollutant_name,
-               year(l_shipdate) + 19 AS year, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q
+               year(l_shipdate) + 24 AS year, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q
         FROM lineitem GROUP BY ALL""".format(names=", ".join(map(_text, B.INVENTORY_NAMES)),
                                              count=len(B.INVENTORY_NAMES)),
     "pounds": "SELECT registry_id, pollutant_name, year, CAST(q AS DOUBLE) AS pounds FROM inventory WHERE q % 7 <> 0",
@@ -387,7 +414,17 @@ def _short(value: str) -> str:
 def _result_cells() -> str:
     text = (f"{_short('b')} || ' (' || {_short('low')} || '–' || {_short('high')} || '), ' || bold || 'p = ' || "
             f"{_short('p')} || bold")
-    return ", ".join(f'max({text}) FILTER (WHERE condition = {_text(c)}) AS "{c}"' for c in S.CONDITION_ORDER)
+    return ", ".join(f'max({text}) FILTER (WHERE condition = {_text(c)}) AS "{c}"' for c in B.CONDITIONS)
+
+
+def _formatted(keys: str, view: str, link: str) -> str:
+    return f"""
+        SELECT {keys}svi_variable, {_result_cells()} FROM (
+            SELECT * EXCLUDE (b), {link}(b) AS b, CASE WHEN round(p, 3) < 0.05 THEN '**' ELSE '' END AS bold FROM (
+                SELECT *, {link}(b - {NORMAL_975!r} * se) AS low, {link}(b + {NORMAL_975!r} * se) AS high,
+                       {_tail('(b / se)', 'df')} AS p
+                FROM (SELECT *, n - 2 AS df FROM {view})))
+        GROUP BY {keys}svi_variable"""
 
 
 RATES = ", ".join(S.ENDPOINT_OF_RATE)
@@ -409,7 +446,7 @@ BODIES: dict[str, str] = {
                    {CONDITION}, {POLLUTANT} FROM lineitem
             UNION ALL SELECT 'notes ' || {POLLUTANT} || '.txt', NULL, NULL, NULL, NULL FROM lineitem)""",
     "p1_drop_empty_columns": """
-        SELECT file_name, count(*) AS "rows", min(X) AS min_x, max(Y) AS max_y FROM receptor GROUP BY file_name""",
+        SELECT file_name, 'X, Y, Concentration (AVERAGE CONC) [ug/m^3], file_name' AS kept_columns, count(*) AS "rows", min(X) AS min_x, max(Y) AS max_y FROM receptor GROUP BY file_name""",
     "p5_p6_wide_demographics": f"SELECT GEOID, NAME, {PEOPLE} FROM people WHERE year = 2000",
     "p11_sentinel_clean": f"SELECT FIPS, {', '.join(n for _, n in SVI_NAMES)} FROM svi",
     "w1_monitor_ids": """
@@ -431,19 +468,21 @@ BODIES: dict[str, str] = {
                best.conc AS Nearest_Conc FROM near""",
     "g7_assign_concentration": """
         SELECT t.GEOID, TRACTCE, NAME, NAMELSADCO, STATEFP, pollutant, condition,
-               round(Final_Conc, 8) AS Final_Conc, Source FROM assigned a JOIN tract t ON a.GEOID = t.GEOID""",
+               round(Final_Conc, 8) AS Final_Conc, Source FROM assigned a JOIN tract t ON a.GEOID = t.GEOID
+        UNION ALL SELECT GEOID, TRACTCE, NAME, NAMELSADCO, STATEFP, NULL, NULL, NULL, NULL FROM tract WHERE x0 IS NULL""",
     "g7_map_variant": """
         SELECT t.GEOID, TRACTCE, NAME, STUSPS, NAMELSADCO, 5 AS vertices, pollutant,
                round(Final_Conc, 8) AS Final_Conc, Source FROM assigned a JOIN tract t ON a.GEOID = t.GEOID
-        WHERE pollutant = 'PM' AND condition = 'Typical Controlled'""",
+        WHERE pollutant = 'PM' AND condition = 'Typical Controlled'
+        UNION ALL SELECT GEOID, TRACTCE, NAME, STUSPS, NAMELSADCO, NULL, NULL, NULL, NULL FROM tract WHERE x0 IS NULL""",
     "r1_demographics_wide": f"SELECT GEOID, NAME, year, {PEOPLE} FROM people",
     "j4_conc_demographics": f"""
         SELECT c.GEOID, TRACTCE, c.NAME, NAMELSADCO, STATEFP, county_fips, pollutant, c.year,
                round(Final_Conc, 8) AS Final_Conc, {PEOPLE}
-        FROM conc_y c LEFT JOIN people p ON p.GEOID = c.GEOID AND p.year = c.year""",
+        FROM conc_y c LEFT JOIN some_people p ON p.GEOID = c.GEOID AND p.year = c.year""",
     "j4_unmatched_tracts": """
         SELECT c.year, count(*) AS unmatched_rows, count(DISTINCT c.GEOID) AS unmatched_tracts
-        FROM conc_y c ANTI JOIN people p ON p.GEOID = c.GEOID AND p.year = c.year GROUP BY ALL""",
+        FROM conc_y c ANTI JOIN some_people p ON p.GEOID = c.GEOID AND p.year = c.year GROUP BY ALL""",
     "j5_conc_latest_demographics": f"""
         SELECT c.GEOID, TRACTCE, c.NAME, NAMELSADCO, STATEFP, county_fips, pollutant, condition,
                round(Final_Conc, 8) AS Final_Conc, {PEOPLE}
@@ -451,10 +490,10 @@ BODIES: dict[str, str] = {
     "d2_county_of_tract": "SELECT substr(GEOID, 1, 5) AS county_fips, count(*) AS tracts FROM tract GROUP BY ALL",
     "j6_rates_left": f"""
         SELECT GEOID, pollutant, c.year, c.county_fips, round(Final_Conc, 8) AS Final_Conc, {RATES}
-        FROM conc_y c LEFT JOIN rate r ON r.county_fips = c.county_fips AND r.year = c.year""",
+        FROM conc_y c LEFT JOIN some_rate r ON r.county_fips = c.county_fips AND r.year = c.year""",
     "j7_rates_latest_inner": f"""
         SELECT GEOID, pollutant, condition, c.county_fips, round(Final_Conc, 8) AS Final_Conc, {RATES}
-        FROM conc_c c JOIN rate r ON r.county_fips = c.county_fips AND r.year = 2001""",
+        FROM conc_c c JOIN some_rate r ON r.county_fips = c.county_fips AND r.year = 2001""",
     "r2_unpivot_rates": "SELECT GEOID, pollutant, condition, endpoint, rate FROM long_c",
     "d8_tract_cases": f"SELECT {_case_columns('condition')} FROM case_c",
     "d8_tract_cases_by_year": f"SELECT {_case_columns('year')} FROM case_y",
@@ -483,14 +522,14 @@ BODIES: dict[str, str] = {
     "d17_endpoint_trend": f"""
         SELECT year, endpoint, round(sum(cases), 6) AS total_cases, {_rank('endpoint', S.TREND_ORDER)} AS endpoint_rank
         FROM priced_y GROUP BY year, endpoint""",
-    "d18_damage_wide": _wide("priced_c", "condition", S.CONDITION_ORDER, _text),
+    "d18_damage_wide": _wide("priced_c", "condition", B.CONDITIONS, _text),
     "d18_damage_wide_by_year": _wide("priced_y", "year", B.YEARS, str),
     "r6_damage_display": "SELECT endpoint, pollutant, {}, {} AS pollutant_rank FROM priced_c GROUP BY pollutant, endpoint".format(
         ", ".join(
             f"""coalesce(printf('%.{d}f', round(max({m}) FILTER (WHERE condition = {_text(c)}), {d})), 'XX')
                 AS "{name}_{c}" """
             for name, m, d in (("total_additional_cases", "cases", 3), ("total_cost", "cost / 1e6", 1))
-            for c in S.CONDITION_ORDER), _rank("pollutant", S.POLLUTANT_ORDER)),
+            for c in B.CONDITIONS), _rank("pollutant", S.POLLUTANT_ORDER)),
     "d11_tract_cost": """
         SELECT GEOID, pollutant, condition, endpoint, round(additional_cases, 8) + 0 AS additional_cases,
                unit AS unit_cost, round(cost, 2) + 0 AS economic_cost FROM tract_cost""",
@@ -507,13 +546,13 @@ BODIES: dict[str, str] = {
             SELECT GEOID, coalesce(sum(cost), 0) AS total FROM tract_cost
             WHERE condition = 'Typical Uncontrolled' AND county_fips = '{B.CITY}' GROUP BY ALL) t ON c.GEOID = t.GEOID""",
     "d12_savings": "SELECT GEOID, NAMELSADCO, {}, round(delta, 2) + 0 AS delta_economic_cost FROM delta".format(
-        ", ".join(f'round("economic_cost_{c}", 2) + 0 AS "economic_cost_{c}"' for c in S.CONDITION_ORDER)),
+        ", ".join(f'round("economic_cost_{c}", 2) + 0 AS "economic_cost_{c}"' for c in B.CONDITIONS)),
     "d13_savings_map": """
         SELECT NAMELSAD, NAME, d.GEOID, round(delta, 2) + 0 AS delta_economic_cost
         FROM county c LEFT JOIN delta d ON NAMELSAD = NAMELSADCO""",
     "d13_county_savings": """
         SELECT GEOID, NAME, NAMELSAD, round(total, 2) + 0 AS delta_economic_cost
-        FROM county LEFT JOIN (SELECT NAMELSADCO, sum(delta) AS total FROM delta GROUP BY ALL) ON NAMELSAD = NAMELSADCO""",
+        FROM county LEFT JOIN (SELECT substr(GEOID, 1, 5) AS id, sum(delta) AS total FROM delta GROUP BY ALL) ON id = GEOID""",
     "d13_tract_savings": """
         SELECT c.GEOID, c.NAME, c.NAMELSADCO, round(delta, 2) + 0 AS delta_economic_cost
         FROM city_tract c JOIN delta d ON c.GEOID = d.GEOID""",
@@ -539,16 +578,20 @@ BODIES: dict[str, str] = {
     "t2_themes": f"""
         SELECT pollutant, condition, svi_variable, round(exp(b), 7) AS estimate,
                round(exp(b - {NORMAL_975!r} * se), 7) AS conf_low, round(exp(b + {NORMAL_975!r} * se), 7) AS conf_high,
-               n - 2 AS df FROM fit_t""",
+               abs(round({_tail('(b / se)', 'df')}, 9)) AS p_value, df FROM (SELECT *, n - 2 AS df FROM fit_t)""",
     "t3_unstratified": _fit("fit_p", "condition", 4),
     "t5_selected": """
+        SELECT pollutant, condition, string_agg(svi_variable, ' + ' ORDER BY svi_variable) AS svi_variables
+        FROM selected_t GROUP BY pollutant, condition""",
+    "t5_selected_indicators": """
         SELECT pollutant, condition, string_agg(svi_variable, ' + ' ORDER BY svi_variable) AS svi_variables
         FROM selected GROUP BY pollutant, condition""",
     "a14_selected_map": """
         SELECT pollutant, string_agg(condition || ': ' || names, '; ' ORDER BY condition) AS condition_lists
         FROM (SELECT pollutant, condition, string_agg(svi_variable, ' + ' ORDER BY svi_variable) AS names
-              FROM selected GROUP BY pollutant, condition) GROUP BY pollutant""",
-    "t6_multivariate": _model("model_c", "pollutant, condition", 6),
+              FROM selected_t GROUP BY pollutant, condition) GROUP BY pollutant""",
+    "t6_multivariate": _model("model_t", "pollutant, condition", 6),
+    "t6_multivariate_indicators": _model("model_c", "pollutant, condition", 6),
     "t7_multivariate": _model("model_p", "condition", 4),
     "t9_coefficient_plot": f"""
         SELECT condition, term, replace(regexp_replace(term, '^Pct_', ''), '_', ' ') AS clean_term, svi_theme,
@@ -559,16 +602,26 @@ BODIES: dict[str, str] = {
                      CASE {' '.join(f"WHEN term IN ({', '.join(map(_text, names))}) THEN {_text(theme)}"
                                     for theme, names in S.SVI_THEMES.items())} ELSE {_text(S.OTHER_THEME)} END AS svi_theme
               FROM model_p WHERE term NOT IN ('(Intercept)', 'Final_Conc', 'total_pop'))""",
-    "t10_formatted": f"""
-        SELECT pollutant, svi_variable, {_result_cells()} FROM (
-            SELECT *, CASE WHEN round(p, 3) < 0.05 THEN '**' ELSE '' END AS bold FROM (
-                SELECT *, b - {NORMAL_975!r} * se AS low, b + {NORMAL_975!r} * se AS high, {_tail('(b / se)', 'df')} AS p
-                FROM (SELECT *, n - 2 AS df FROM fit_c)))
-        GROUP BY pollutant, svi_variable""",
+    "t10_formatted": _formatted("pollutant, ", "fit_t", "exp"),
+    "t10_formatted_indicators": _formatted("pollutant, ", "fit_c", ""),
+    "t10_formatted_pooled": _formatted("", "fit_p", ""),
     "k_str6_number_text": """
         SELECT p_partkey, regexp_replace(regexp_replace(printf('%.3f', round(p_retailprice / 8, 3)), '0+$', ''), '\\.$', '')
                AS text, CASE WHEN p_partkey % 5 <> 0 THEN printf('%.2f', round(p_retailprice / 8, 2)) ELSE 'XX' END AS fixed
         FROM part""",
+    "s5_incidence_file": f"""
+        SELECT county_fips, year, {", ".join(f"NULLIF({c}, 'NA') AS {c}" for c in S.ENDPOINT_OF_RATE)} FROM rate""",
+    "s6_demographics_file": f"SELECT GEOID, NAME, year, {PEOPLE} FROM people WHERE year = vintage",
+    "s7_wide_demographics_file": f"SELECT GEOID, NAME, {PEOPLE} FROM people WHERE year = 2000",
+    "s8_boundaries_file": """
+        SELECT GEOID, STUSPS, x0 AS west, CASE WHEN x0 IS NOT NULL THEN y0 END AS south, CASE WHEN x0 IS NOT NULL THEN 5 END AS vertices, 2021 AS vintage
+        FROM tract""",
+    "s10_vulnerability_file": f"SELECT FIPS, {', '.join(n for _, n in SVI_NAMES)} FROM svi",
+    "s12_monitor_files": """
+        SELECT 'reformatted_' || r.file_name AS file_name, CAST(regexp_extract(r.file_name, '[0-9]{4}') AS INTEGER) AS year,
+               split_part(r.file_name, ' ', 3) AS pollutant, round(lat, 7) AS latitude, round(lon, 7) AS longitude, conc AS "Conc"
+        FROM receptor r JOIN lonlat n ON r.X = n.X AND r.Y = n.Y""",
+    "s13_inventory_file": "SELECT registry_id, pollutant_name, year, pounds FROM pounds",
     "x1_inventory_long": """
         SELECT registry_id, pollutant_name, 'Pounds' AS unit_of_measure, year, pounds FROM pounds""",
     "x2_x3_criteria_tons": "SELECT registry_id, short_name, year, pounds, tons FROM criteria",
@@ -577,11 +630,11 @@ BODIES: dict[str, str] = {
         WHERE short_name IN ('PM2.5', 'PM10') GROUP BY registry_id, year""",
     "x4_run_manifest": "SELECT file_name, facility, scenario, pollutant FROM manifest",
     "x5_run_completeness": """
-        SELECT run || '_RUN.log' AS file_name, max(year(ts)) AS year, count(DISTINCT year(ts)) AS years,
-               count(*) AS day_lines, count(DISTINCT dayofyear(ts)) AS days, min(dayofyear(ts)) AS first_day,
-               max(dayofyear(ts)) AS last_day, bool_or(event_type = 'signup') AS closed,
-               366 AS expected_days, false AS complete
-        FROM event GROUP BY run""",
+        SELECT *, coalesce(days = expected_days AND day_lines = expected_days AND first_day = 1
+                           AND last_day = expected_days AND years = 1 AND closed, false) AS complete
+        FROM (SELECT file_name, max(y) AS year, count(DISTINCT y) AS years, count(d) AS day_lines,
+                     count(DISTINCT d) AS days, min(d) AS first_day, max(d) AS last_day, bool_or(c) AS closed,
+                     dayofyear(make_date(max(y), 12, 31)) AS expected_days FROM run_line GROUP BY file_name)""",
     "x5_run_gaps": """
         SELECT file_name, gap_after, day AS gap_before, day - gap_after - 1 AS missing_days FROM (
             SELECT *, lag(day) OVER (PARTITION BY file_name ORDER BY day) AS gap_after FROM day)
@@ -591,22 +644,25 @@ BODIES: dict[str, str] = {
             (VALUES ('PM'), ('NOx'), ('SO2'), ('CO')) p(pollutant)
         EXCEPT SELECT facility, scenario, pollutant FROM manifest""",
     "x7_site_characteristics": """
-        SELECT year, sector, (sector - 1) * 30.0::DOUBLE AS start_dir, sector * 30.0::DOUBLE AS end_dir, albedo, bowen,
+        SELECT site, year, sector, (sector - 1) * 30.0::DOUBLE AS start_dir, sector * 30.0::DOUBLE AS end_dir, albedo, bowen,
                roughness FROM site_value""",
     "x8_annual_roughness": """
-        SELECT year, sector, round(mean, 6) AS monthly_mean, 12 AS months, roughness AS annual,
+        SELECT site, year, sector, round(mean, 6) AS monthly_mean, 12 AS months, roughness AS annual,
                abs(mean - roughness) <= 0.0005 + 1e-9 AS agrees
-        FROM (SELECT year, sector, sum(CAST(s AS BIGINT) % 1000 / 1000.0::DOUBLE) / 12 AS mean FROM (
-                  SELECT year, sector, month, sum(l_linenumber) AS s FROM sector_item GROUP BY ALL) GROUP BY ALL)
-        JOIN site_value USING (year, sector)""",
+        FROM (SELECT v.*, CASE WHEN v.site_no % 2 = 0 THEN (12 * v.s + 4) / 12.0::DOUBLE / 1000 ELSE m.mean END AS mean
+              FROM site_value v JOIN (
+                  SELECT year, site_no, sector, sum(CAST(s AS BIGINT) % 1000 / 1000.0::DOUBLE) / 12 AS mean FROM (
+                      SELECT year, site_no, sector, month, sum(l_linenumber) AS s FROM sector_item GROUP BY ALL) GROUP BY ALL) m
+              USING (year, site_no, sector))""",
     "x9_cover_check": """
-        SELECT year, s.sector, count(*) FILTER (WHERE i.sector = s.sector) AS class_sum,
-               count(*) FILTER (WHERE i.sector = s.sector) AS total, count(DISTINCT class) AS classes, true AS agrees
-        FROM sector_item i, (SELECT unnest(range(1, 13)) AS sector) s GROUP BY year, s.sector""",
+        SELECT site, year, sector, class_sum, class_sum + extra AS total, classes, extra = 0 AS agrees FROM (
+            SELECT 'S' || site_no AS site, year, s.sector, count(*) FILTER (WHERE i.sector = s.sector) AS class_sum,
+                   count(DISTINCT class) AS classes, CASE WHEN site_no % 5 = 0 AND s.sector = 1 THEN 1 ELSE 0 END AS extra
+            FROM sector_item i, (SELECT unnest(range(1, 13)) AS sector) s GROUP BY site_no, year, s.sector)""",
     "x10_roughness_change": """
-        SELECT year, sector, roughness, lag(year) OVER w AS previous_year,
+        SELECT site, year, sector, roughness, lag(year) OVER w AS previous_year,
                round(roughness - lag(roughness) OVER w, 6) + 0 AS change
-        FROM site_value WINDOW w AS (PARTITION BY sector ORDER BY year)""",
+        FROM site_value WINDOW w AS (PARTITION BY site_no, sector ORDER BY year)""",
     "x11_sector": """
         SELECT event_id, value AS direction, CAST(floor((value + 15) / 30) AS BIGINT) % 12 + 1 AS sector FROM events""",
     "x12_warnings": """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: the caller's own checkpoint folder, else the one spark.checkpoint.dir names.
 
-    Only a local session without either (tests, benchmark) gets a temporary folder.
+    Without either it raises: a folder of one machine's own would lose the tables of the others.
     """
     context = spark.sparkContext
     named = (context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
              or context.getConf().get("spark.checkpoint.dir"))
-    if named:
-        return named
-    if not context.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="airtoll-"))
-    return context.getCheckpointDir()
+    return named
 
 
 #: Folders written by staged() that remove_staged() has not deleted yet.
@@ -36,6 +32,13 @@ def remove_staged(spark: SparkSession) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """New path below the shared folder; remove_staged() deletes what was written there."""
+    path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write once and read back.
 
@@ -43,7 +46,6 @@ def staged(df: DataFrame) -> DataFrame:
     executor costs nothing that was written, and the optimizer knows the real size, so it
     broadcasts the table only when it is small.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -164,25 +164,34 @@ def test_wide_table_and_its_text(priced):
 
 def test_savings_need_both_scenarios(spark):
     costs = spark.createDataFrame([
-        ("1", "A County", "24001", "Typical Controlled", 2.0), ("1", "A County", "24001", "Typical Uncontrolled", 5.0),
-        ("2", "A County", "24001", "Typical Uncontrolled", 7.0), ("3", "B County", "24003", "Typical Controlled", None),
-        ("3", "B County", "24003", "Typical Uncontrolled", 1.0)],
+        ("240011", "A County", "24001", "Typical Controlled", 2.0), ("240011", "A County", "24001", "Typical Uncontrolled", 5.0),
+        ("240012", "A County", "24001", "Typical Uncontrolled", 7.0), ("240033", "B County", "24003", "Typical Controlled", None),
+        ("240033", "B County", "24003", "Typical Uncontrolled", 1.0)],
         "GEOID string, NAMELSADCO string, county_fips string, condition string, economic_cost double")
     savings = U.scenario_savings(costs)
     got = {r["GEOID"]: r["delta_economic_cost"] for r in savings.collect()}
-    assert got == {"1": 3.0, "2": None, "3": 1.0}
+    assert got == {"240011": 3.0, "240012": None, "240033": 1.0}
     back = U.scenario_savings(costs, before="Typical Controlled", after="Typical Uncontrolled")
-    assert {r["GEOID"]: r["delta_economic_cost"] for r in back.collect()} == {"1": -3.0, "2": None, "3": -1.0}
+    assert {r["GEOID"]: r["delta_economic_cost"] for r in back.collect()} == {"240011": -3.0, "240012": None, "240033": -1.0}
     counties = spark.createDataFrame([("24001", "A County"), ("24005", "C County")], "GEOID string, NAMELSAD string")
     fanned = rows(U.county_savings_rows(counties, savings).select("NAMELSAD", "GEOID", "delta_economic_cost"), "NAMELSAD", "GEOID")
-    assert fanned == [("A County", "1", 3.0), ("A County", "2", None), ("C County", None, None)]
+    assert fanned == [("A County", "240011", 3.0), ("A County", "240012", None), ("C County", None, None)]
     proper = rows(U.county_savings(counties, savings).select("GEOID", "delta_economic_cost"), "GEOID")
     assert proper == [("24001", 3.0), ("24005", None)]
     county = rows(U.county_damages(counties, costs).select("GEOID", "total_economic_cost"), "GEOID")
     assert county == [("24001", 14.0), ("24005", None)]
-    tracts = spark.createDataFrame([("1",), ("9",)], "GEOID string")
-    assert rows(U.tract_damages(tracts, costs, "24001"), "GEOID") == [("1", 7.0), ("9", None)]
-    assert rows(U.tract_savings(tracts, savings), "GEOID") == [("1", 3.0)]
+    namesake = spark.createDataFrame([("24001", "A County"), ("51001", "A County")], "GEOID string, NAMELSAD string")
+    assert rows(U.county_savings(namesake, savings).select("GEOID", "delta_economic_cost"), "GEOID") == [("24001", 3.0), ("51001", None)]
+    tracts = spark.createDataFrame([("240011",), ("9",)], "GEOID string")
+    assert rows(U.tract_damages(tracts, costs, "24001"), "GEOID") == [("240011", 7.0), ("9", None)]
+    assert rows(U.tract_savings(tracts, savings), "GEOID") == [("240011", 3.0)]
+
+
+def test_an_unlisted_scenario_gets_its_column(spark):
+    costs = spark.createDataFrame([("1", "A", "Idle", 2.0), ("1", "A", None, 3.0)],
+                                  "GEOID string, NAMELSADCO string, condition string, economic_cost double")
+    got = U.scenario_savings(costs).first().asDict()
+    assert got["economic_cost_Idle"] == 2.0 and got["economic_cost_NA"] == 3.0 and got["delta_economic_cost"] is None
 
 
 def test_same_tract_name_in_two_counties_stays_apart(spark):

@@ -131,3 +131,13 @@ def test_student_tail_and_quantile():
     assert two_sided_p(np.array([1.959963984540054]), np.array([10**7]))[0] == pytest.approx(0.05, abs=1e-7)
     assert two_sided_p(np.array([60.0]), np.array([1000]))[0] < 1e-300
     assert t_quantile_975(np.array([3, 10]))[0] == pytest.approx(3.182446305284263, abs=1e-9)
+
+
+@pytest.mark.parametrize("df", [2e4, 1e6, 1e8, 1e10, 1e12])
+@pytest.mark.parametrize("t", [0.01, 1.5, 3.0])
+def test_tail_with_many_degrees_of_freedom(t, df):
+    """Against the expansion of the tail about the normal one in powers of 1 / df."""
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    terms = (t**3 + t) / (4 * df) + (3 * t**7 - 7 * t**5 - 5 * t**3 - 3 * t) / (96 * df * df)
+    want = math.erfc(t / math.sqrt(2)) + 2 * density * terms
+    assert two_sided_p(np.array([t]), np.array([df]))[0] == pytest.approx(want, rel=1e-9)

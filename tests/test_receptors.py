@@ -46,7 +46,7 @@ def test_row_numbers_with_a_hot_file_and_copies(spark):
         F.when(F.col("id") < 30000, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 3).cast("string"))).alias("file_name"),
         F.when(F.col("id") < 25000, 7.0).otherwise((F.col("id") % 997).cast("double")).alias("X"),
         F.when(F.col("id") < 28000, 3.0).otherwise((F.col("id") % 13).cast("double")).alias("Y"))
-    numbered = R.number_rows(df, ["file_name"], ["Y", "X"], R.site_position(F.col("X"), F.col("Y")), 5).toPandas()
+    numbered = R.number_rows(df, ["file_name"], ["Y", "X"], 2000).toPandas()
     for _, part in numbered.groupby("file_name"):
         part = part.sort_values("row_number")
         assert list(part["row_number"]) == list(range(1, len(part) + 1))
@@ -55,6 +55,12 @@ def test_row_numbers_with_a_hot_file_and_copies(spark):
     assert len(numbered) == 40000
 
 
+def test_rows_without_position_come_last(spark):
+    df = grid(spark, (None, None, 1.0, "a.csv"), (3.0, 2.0, 2.0, "a.csv"), (None, 2.0, 3.0, "a.csv"))
+    got = rows(R.monitor_ids(df).select("Monitor Name", HEAD), "Monitor Name")
+    assert got == [("M001", 2.0), ("M002", 3.0), ("M003", 1.0)]
+
+
 def test_reformat_receptors(spark):
     x, y = forward(-76.5, 39.25)
     df = grid(spark, (x, y, 0.5, "Plant 2017 PM Annual.csv"), (None, y, 1.0, "Plant 2017 PM Annual.csv"),

@@ -53,9 +53,9 @@ def test_site_characteristics_and_roughness(spark):
     df = lines(spark, **{"2014 site_sfc.TXT": SITE, "2017 site_sfc.TXT": [s.replace("0.118", "0.137") for s in SITE]})
     values = P.site_values(df)
     got = rows(A.site_characteristics(P.sector_bounds(df), values), "year", "sector")
-    assert got[:2] == [(2014, 1, 0.0, 30.0, 0.17, 0.83, 0.118), (2014, 2, 30.0, 60.0, 0.17, 0.83, 0.187)]
+    assert got[:2] == [("site", 2014, 1, 0.0, 30.0, 0.17, 0.83, 0.118), ("site", 2014, 2, 30.0, 60.0, 0.17, 0.83, 0.187)]
     change = rows(A.roughness_change(values), "sector", "year")
-    assert change[0][3:] == (None, None) and change[1][3] == 2014 and change[1][4] == pytest.approx(0.019)
+    assert change[0][4:] == (None, None) and change[1][4] == 2014 and change[1][5] == pytest.approx(0.019)
     monthly = P.monthly_roughness(lines(spark, **{"2014 site.LOG": MONTHS}))
     assert monthly.count() == 24
     check = {r["sector"]: r for r in A.annual_roughness(monthly, values.filter("year = 2014")).collect()}
@@ -77,7 +77,7 @@ def test_cover_counts(spark):
     counts = P.cover_counts(lines(spark, **{"2014 site.LOG": text}))
     assert counts.count() == 9
     assert rows(A.cover_check(counts), "sector") == [
-        (2014, 0, 326, 326, 2, True), (2014, 1, 5, 5, 2, True), (2014, 2, 7, 8, 2, False)]
+        ("site", 2014, 0, 326, 326, 2, True), ("site", 2014, 1, 5, 5, 2, True), ("site", 2014, 2, 7, 8, 2, False)]
 
 
 def test_warnings(spark):

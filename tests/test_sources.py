@@ -47,12 +47,8 @@ def test_receptor_to_tract_from_files(spark, tmp_path):
     sinks.write_reformatted(R.reformat_receptors(receptors), str(out))
     folders = sorted(d for d in os.listdir(out) if d.startswith("stem="))
     assert folders == ["stem=reformatted_Plant Max Controlled PM Annual", "stem=reformatted_Plant Typical Controlled PM Annual"]
-    written = spark.read.option("header", True).csv(str(out))
-    name = F.concat(F.col("stem"), F.lit(".csv"))
-    keys = R.condition_keys(name, "Plant")
-    points = written.select(keys["pollutant"].alias("pollutant"), keys["condition"].alias("condition"),
-                            F.col("Longitude").cast("double").alias("longitude"),
-                            F.col("Latitude").cast("double").alias("latitude"), F.col("Values").cast("double").alias("Conc"))
+    keys = R.condition_keys(F.col("file_name"), "Plant")
+    points = tables.read_monitors(spark, str(out)).withColumns(keys)
     wkt = "POLYGON ((-77 39, -76 39, -76 40, -77 40, -77 39))"
     far = "MULTIPOLYGON (((-80 39, -79.5 39, -79.5 39.5, -80 39)), ((-81 39, -80.5 39, -80.5 39.5, -81 39)))"
     path = put(tmp_path / "tracts.csv", "GEOID,TRACTCE,NAME,NAMELSADCO,STATEFP,STUSPS,geometry,vintage",
