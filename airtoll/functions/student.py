@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 NORMAL_975 = 1.959963984540054
 
 
-def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta I_x(a, b) by its continued fraction (modified Lentz)."""
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _log_gamma_step(a: np.ndarray) -> np.ndarray:
+    """log(gamma(a + 1/2) / gamma(a)) without the cancellation of two large logarithms."""
+    shift = np.maximum(np.ceil(30 - a), 0)
+    big = a + shift
+    series = 0.5 * np.log(big) - 1 / (8 * big) + 1 / (192 * big**3) - 1 / (640 * big**5) + 17 / (14336 * big**7)
+    # gamma(a + 1/2) / gamma(a) = gamma(a + 3/2) / gamma(a + 1) * a / (a + 1/2)
+    for i in range(int(shift.max(initial=0))):
+        series += np.where(i < shift, np.log((a + i) / (a + i + 0.5)), 0.0)
+    return series
+
+
+def _incomplete_beta(a: np.ndarray, x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta I_x(a, 1/2) by its continued fraction (modified Lentz); rest is 1 - x."""
+    b = 0.5
     flip = x > (a + 1) / (a + b + 2)
     p, q = np.where(flip, b, a), np.where(flip, a, b)
-    z = np.where(flip, 1 - x, x)
+    z = np.where(flip, rest, x)
     with np.errstate(divide="ignore"):
-        front = np.exp(lgamma(p + q) - lgamma(p) - lgamma(q)
-                       + p * np.log(z) + q * np.log1p(-z)) / p
+        log_x = np.where(x > 0.5, np.log1p(-rest), np.log(x))
+        front = np.exp(_log_gamma_step(a) - 0.5 * math.log(math.pi) + a * log_x + b * np.log(rest)) / p
     tiny = 1e-300
     c = np.ones_like(z)
     d = 1 - (p + q) * z / (p + 1)
@@ -67,7 +78,9 @@ def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
         if many.any():
             p[many] = np.where(np.isinf(tt[many]), 0.0, _near_normal(np.where(np.isinf(tt[many]), 0.0, tt[many]), dd[many]))
         if not many.all():
-            p[~many] = _incomplete_beta(dd[~many] / 2, 0.5, dd[~many] / (dd[~many] + tt[~many] ** 2))
+            few, square = dd[~many], tt[~many] ** 2
+            rest = np.where(np.isinf(square), 1.0, square / (few + square))
+            p[~many] = _incomplete_beta(few / 2, few / (few + square), rest)
     out[known] = p
     return out
 
