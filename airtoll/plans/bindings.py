@@ -15,15 +15,11 @@ from airtoll import schemas as S
 from airtoll.operators import demographics as D
 from airtoll.operators import impact as I
 from airtoll.operators.disparity import vulnerability_table
-from airtoll.operators.spatial import Cover, Grid
 
 YEARS = list(range(1995, 2002))
 COPIED = (2000, 2001)
 CONDITIONS = [*S.CONDITION_ORDER, "Idle Controlled"]  # the last one is in no display order
 CITY = "00003"  # county of the tract-level maps
-COVER = Cover(1.0, 1)
-GRID = Grid(0.0, 0.0, 40.0, 20.0, 0.25, 4)
-TOWN_GRID = Grid(-76.9, 39.15, -76.5, 39.4, 0.0125, 3)
 
 # (pollutant, endpoint, relative risk); several pairs are left out on purpose
 RISKS = [

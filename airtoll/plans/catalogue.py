@@ -85,7 +85,7 @@ def w1_monitor_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def d1_monitor_table(spark: SparkSession, folder: str) -> DataFrame:
     monitors = R.reformat_receptors(
-        R.drop_empty_columns(B.receptors(spark, folder)), 32618, B.places(spark, folder), B.TOWN_GRID)
+        R.drop_empty_columns(B.receptors(spark, folder)), 32618, B.places(spark, folder))
     return rounded(monitors, {"Latitude": 7, "Longitude": 7})
 
 
@@ -101,7 +101,7 @@ def g4_nearest_place(spark: SparkSession, folder: str) -> DataFrame:
     lon, lat = utm_to_lon_lat(F.col("X"), F.col("Y"))
     sites = B.receptors(spark, folder).select("X", "Y").distinct().select(
         "X", "Y", lon.alias("Longitude"), lat.alias("Latitude"))
-    return G.nearest_place(sites, B.places(spark, folder), ["X", "Y"], B.TOWN_GRID)
+    return G.nearest_place(sites, B.places(spark, folder), ["X", "Y"])
 
 
 # --- exchanged files: a table is written out and read back --------------------------------
@@ -164,12 +164,12 @@ def s13_inventory_file(spark: SparkSession, folder: str) -> DataFrame:
 def j1_points_in_tracts(spark: SparkSession, folder: str) -> DataFrame:
     shapes = staged(G.tract_shapes(B.tracts(spark, folder), geographic=False))
     sites = staged(G.merge_sites(B.points(spark, folder), SCENARIO))
-    return rounded(G.tract_means(sites, shapes, SCENARIO, B.COVER), {"Avg_Conc": 8})
+    return rounded(G.tract_means(sites, shapes, SCENARIO), {"Avg_Conc": 8})
 
 
 @query
 def j1_point_matches(spark: SparkSession, folder: str) -> DataFrame:
-    matched = G.points_in_tracts(B.points(spark, folder), B.tracts(spark, folder), geographic=False, cover=B.COVER)
+    matched = G.points_in_tracts(B.points(spark, folder), B.tracts(spark, folder), geographic=False)
     return matched.select("pollutant", "condition", "longitude", "latitude", "Conc", "GEOID")
 
 
@@ -177,8 +177,8 @@ def j1_point_matches(spark: SparkSession, folder: str) -> DataFrame:
 def j2_nearest_receptor(spark: SparkSession, folder: str) -> DataFrame:
     shapes = staged(G.tract_shapes(B.tracts(spark, folder), geographic=False))
     sites = staged(G.merge_sites(B.points(spark, folder), SCENARIO))
-    means = staged(G.tract_means(sites, shapes, SCENARIO, B.COVER))
-    near = G.nearest_receptor(shapes, sites, SCENARIO, B.GRID, means.select(*SCENARIO, "GEOID"))
+    means = staged(G.tract_means(sites, shapes, SCENARIO))
+    near = G.nearest_receptor(shapes, sites, SCENARIO, None, means.select(*SCENARIO, "GEOID"))
     return near.select(*SCENARIO, "GEOID", "distance", "x", "y",
                        F.col("first").alias("Nearest_Conc"))
 
@@ -186,7 +186,7 @@ def j2_nearest_receptor(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def g7_assign_concentration(spark: SparkSession, folder: str) -> DataFrame:
     assigned = G.assign_concentration(B.points(spark, folder), B.tracts(spark, folder), SCENARIO,
-                                      geographic=False, cover=B.COVER, grid=B.GRID)
+                                      geographic=False)
     return rounded(assigned, {"Final_Conc": 8})
 
 
@@ -194,7 +194,7 @@ def g7_assign_concentration(spark: SparkSession, folder: str) -> DataFrame:
 def g7_map_variant(spark: SparkSession, folder: str) -> DataFrame:
     one_file = B.points(spark, folder).filter((F.col("pollutant") == "PM") & (F.col("condition") == "Typical Controlled"))
     assigned = G.assign_concentration(
-        one_file, B.tracts(spark, folder), ["pollutant"], geographic=False, cover=B.COVER, grid=B.GRID,
+        one_file, B.tracts(spark, folder), ["pollutant"], geographic=False,
         columns=("TRACTCE", "NAME", "STUSPS", "NAMELSADCO", "polygons"))
     return rounded(assigned.withColumn("vertices", F.size(F.flatten(F.flatten("polygons")))).drop("polygons"),
                    {"Final_Conc": 8})
