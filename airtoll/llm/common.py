@@ -43,6 +43,13 @@ def training_ids(labels: DataFrame, label: str, allowed: Column, per_class: int)
     return chosen[0].unionByName(chosen[1])
 
 
+def one_text_each(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc_id, label, text) of the ids that docs has, one row each: of several texts the one with the least hash."""
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text")))
+    return rows.groupBy("doc_id", "label").agg(least.alias("least")).select("doc_id", "label", "least.text")
+
+
 def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
     """Write once into the shared folder, bucketed by a column, and read back; grouping by it needs no shuffle."""
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"

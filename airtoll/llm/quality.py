@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airtoll.llm.common import in_fold, training_ids
+from airtoll.llm.common import in_fold, one_text_each, training_ids
 
 UPPER_BYTES, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 SYMBOLS, MARKS = b"*#$%&@^~=<>{}[]\\_+", b"!?"
@@ -132,15 +132,17 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 10_000, doc: str = "doc_id", text: str = "text") -> Trees:
-    """Trees from the labels whose column doc_id is allowed; per_class bounds the sample and what the driver gets."""
+    """Trees from the labels whose column doc_id is allowed; per_class bounds the sample and what the driver gets.
+
+    Of rows that share an id one is an example.
+    """
     ids = training_ids(labels, "quality", allowed, per_class)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame({"label": part["label"], "x": [statistics(t) for t in part["text"]]})
 
-    chosen = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
-    got = chosen.select("label", "text").mapInPandas(run, "label int, x array<double>").toPandas()
+    got = one_text_each(docs, ids, doc, text).select("label", "text").mapInPandas(run, "label int, x array<double>").toPandas()
     got = got.iloc[np.lexsort(np.array(got["x"].tolist()).reshape(len(got), len(STATISTICS)).T)] if len(got) else got  # any order of tasks
     return grow(np.array(got["x"].tolist()).reshape(len(got), len(STATISTICS)), got["label"].to_numpy(float))
 

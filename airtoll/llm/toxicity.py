@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airtoll.llm.common import in_fold, training_ids
+from airtoll.llm.common import in_fold, one_text_each, training_ids
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -231,12 +231,12 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int =
     """Model from the labels whose column doc_id is allowed.
 
     per_class bounds the rows of the sample and most_chars the length of its texts (longer ones are
-    no examples; all are scored), and so what the driver gets.
+    no examples; all are scored), and so what the driver gets. Of rows that share an id one is an example.
     """
-    ids = training_ids(labels, "toxic", allowed, per_class)
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    got = (rows.join(F.broadcast(ids), "doc_id").where(F.char_length("text") <= most_chars).select("doc_id", "label", "text")
-           .toPandas().sort_values(["doc_id", "text"], kind="stable"))
+    short = docs.where(F.char_length(F.col(text)) <= most_chars)
+    known = short.select(F.col(doc).cast("long").alias("doc_id")).distinct()
+    ids = training_ids(labels.join(known, "doc_id", "left_semi"), "toxic", allowed, per_class)
+    got = one_text_each(short, ids, doc, text).toPandas().sort_values("doc_id", kind="stable")
     return fit(got["text"].tolist(), got["label"].to_numpy())
 
 
