@@ -84,7 +84,11 @@ def find_exponent(sources: DataFrame, budget_share: float, entropy: float | None
 def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float | None = None, repeats: float | None = None, seed: int = 17,
         block_tokens: int = 100_000, most_blocks: int = 4096, doc: str = "doc_id", text: str = "text",
         source: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, n_tokens, weight (of its source), block, copies (0 and more)."""
+    """One row per row of docs: doc_id, source, n_tokens, weight (of its source), block, copies (0 and more), block_rank, place.
+
+    block_rank (from 1) is that of the block in the seeded order of its source, place that of the
+    document in the source's hash order: sorted by (block_rank, place) a source is permuted.
+    """
     rows = staged(measured(docs, doc, text, source, seed))
     totals = rows.groupBy("key").agg(F.sum("n_tokens").alias("n_tokens"))
     total = totals.agg(F.sum("n_tokens")).first()[0] or 0
@@ -102,8 +106,9 @@ def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float | None = None
     # Blocks in a seeded order; those that end within the rest are taken whole.
     sums = staged(placed.groupBy("key", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest")))
     order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1), "key", "block"), "block")
-    behind = sums.withColumn("end", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    taken = staged(behind.select("key", "block", (F.col("end") <= F.col("rest") + 0.5).alias("taken"),
+    behind = (sums.withColumn("end", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("block_rank", F.row_number().over(order)))
+    taken = staged(behind.select("key", "block", "block_rank", (F.col("end") <= F.col("rest") + 0.5).alias("taken"),
                                  ((F.col("end") > F.col("rest") + 0.5) & (F.col("end") - F.col("tokens") < F.col("rest"))).alias("cut"),
                                  (F.col("rest") - F.col("end") + F.col("tokens")).alias("room")))
     marked = placed.join(taken, ["key", "block"])
@@ -116,7 +121,8 @@ def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float | None = None
                   .groupBy("key").agg(F.max("at").alias("last")))
     extra = F.col("taken") | (F.col("cut") & F.coalesce(F.col("at") <= F.col("last"), F.lit(False)))
     return marked.join(last, "key", "left").select(
-        "doc_id", "source", "n_tokens", "weight", "block", (F.col("whole") + extra.cast("long")).alias("copies"))
+        "doc_id", "source", "n_tokens", "weight", "block", (F.col("whole") + extra.cast("long")).alias("copies"),
+        "block_rank", F.col("at").alias("place"))
 
 
 def shares(mixed: DataFrame) -> DataFrame:

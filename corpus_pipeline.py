@@ -43,7 +43,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, weight, block and copies of every document, no source passed more than twice."""
+    """doc_id, source, n_tokens, weight, block, copies, block_rank and place of every document, no source passed more than twice."""
     return mixing.mix(docs, repeats=2.0)
 
 
