@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airtoll.llm import (chat, decontamination, exact_dedup, line_dedup, mixing, near_dedup, quality, suffix_dedup,
-                         toxicity, url_filter)
+from airtoll.llm import (chat, collocations, decontamination, exact_dedup, exact_topk, line_dedup, mixing, near_dedup, periodic_runs,
+                         quality, suffix_dedup, toxicity, url_filter)
 from airtoll.llm.common import table
 
 
@@ -61,13 +61,46 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_topk.exact_topk(table(spark, folder, "embeddings"))
+
+
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by a hash of its id, goes on in circles from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.when(i < F.col("a"), i).otherwise(
+        F.col("a") + (i - F.col("a")) % F.col("p")))
+    circled = F.array_join(F.transform(places, lambda i: F.get("words", i.cast("int"))), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, circled).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    period = -F.col("best.less")
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"),
+        period.alias("period"), F.floor(1000 * F.col("best.length") / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_minhash_near_dedup, op3_line_dedup, op4_url_filter,
-    op5_quality_classifier, op6_chat_formatting, op7_suffix_array_dedup, op8_exact_dedup, op9_mixing, op10_toxicity, pipeline)}
+    op5_quality_classifier, op6_chat_formatting, op7_suffix_array_dedup, op8_exact_dedup, op9_mixing, op10_toxicity,
+    op11_exact_topk, op12_phrase_collocations, op13_periodic_runs, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -124,4 +157,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-SQL = {"op1_benchmark_decontamination": _OP1, "op3_line_dedup": _OP3, "op6_chat_formatting": _OP6, "op8_exact_dedup": _OP8}
+_OP11 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+
+_OP12 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+parts AS (SELECT lang, i, w, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS k FROM places),
+f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS a FROM parts GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, k, a FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, a, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail, c
+        FROM (SELECT *, unnest(range(1, k)) AS c FROM cand)),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, x.a AS l, y.a AS r, c, CAST(2000000::HUGEINT * cut.a // (x.a + y.a) AS BIGINT) AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail
+           QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, c) = 1),
+sizes AS (SELECT *, unnest(range(2, k)) AS m FROM cand),
+inner_parts AS (SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, a FROM (SELECT *, unnest(range(1, k - m + 2)) AS j FROM sizes)),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL),
+best AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+         FROM scored s LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * s.a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM best JOIN total USING (lang) WHERE rank <= 2000"""
+
+SQL = {"op1_benchmark_decontamination": _OP1, "op3_line_dedup": _OP3, "op6_chat_formatting": _OP6, "op8_exact_dedup": _OP8,
+       "op11_exact_topk": _OP11, "op12_phrase_collocations": _OP12}
