@@ -53,8 +53,8 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """The flattest mixture of as many tokens as there are in which no source is passed more than twice."""
-    return mixing.mix(table(spark, folder, "documents"), repeats=2.0)
+    """The flattest mixture of 1.9 times as many tokens as there are in which no source is passed more than twice."""
+    return mixing.mix(table(spark, folder, "documents"), budget_share=1.9, repeats=2.0)
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,6 +157,48 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
+_PLACE = "('0x' || substr(md5(concat_ws('|', {})), 1, 13))::BIGINT / 4503599627370496.0"
+_KEPT = "1.9 * list_max(list_transform(ps, lambda x: pow(x, {0} - 1))) / list_sum(list_transform(ps, lambda x: pow(x, {0}))) <= 2.0"
+
+_OP9 = rf"""
+WITH RECURSIVE m AS (SELECT doc_id, source, coalesce('=' || source, '') AS key, {_PLACE.format("17, doc_id, coalesce(text, '')")} AS pos,
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
+src AS (SELECT key, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY key),
+tot AS (SELECT CAST(greatest(sum(n), 1) AS DOUBLE) AS total FROM src),
+p AS (SELECT list(n / total) AS ps FROM src, tot WHERE n > 0),
+halved(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END
+  FROM (SELECT step, low, high, (low + high) / 2 AS mid, {_KEPT.format("((low + high) / 2)")} AS ok FROM halved, p WHERE step < 32)),
+expo AS (SELECT CASE WHEN {_KEPT.format("0.0")} THEN 0.0 ELSE high END AS e FROM halved, p WHERE step = 32),
+powers AS (SELECT key, n, total, CASE WHEN n > 0 THEN pow(n / total, e) ELSE 0 END AS w FROM src, tot, expo),
+weights AS (SELECT key, n, w / sum(w) OVER () AS weight, CASE WHEN n > 0 THEN w / sum(w) OVER () * (1.9 * total) / n ELSE 1 END AS passes FROM powers),
+plan AS (SELECT key, round(weight, 9) AS weight, least(greatest(ceil(n / 100000), 1), 4096) AS blocks, CAST(floor(passes + 1e-9) AS BIGINT) AS whole,
+         CAST(greatest(floor((passes - floor(passes + 1e-9)) * n + 1e-3), 0) AS BIGINT) AS rest FROM weights),
+placed AS (SELECT m.*, weight, whole, rest, CAST(least(floor(pos * blocks), blocks - 1) AS INTEGER) AS block FROM m JOIN plan USING (key)),
+sums AS (SELECT key, block, rest, sum(n) AS tokens FROM placed GROUP BY ALL),
+behind AS (SELECT *, sum(tokens) OVER w AS past, row_number() OVER w AS block_rank FROM sums
+           WINDOW w AS (PARTITION BY key ORDER BY {_PLACE.format("18, key, block")}, block ROWS UNBOUNDED PRECEDING)),
+taken AS (SELECT key, block, block_rank, rest > 0 AND past <= rest AS taken, past > rest AND past - tokens < rest AS cut,
+          CAST(rest - past + tokens AS BIGINT) AS room FROM behind),
+docs AS (SELECT key, block, pos, CAST(sum(n) AS BIGINT) AS size, cut, room FROM placed JOIN taken USING (key, block) WHERE NOT taken GROUP BY ALL),
+queue AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS r FROM docs WHERE cut),
+fit(key, r, pos, room, fits) AS (
+  SELECT DISTINCT key, 0::BIGINT, -1.0::DOUBLE, room, false FROM queue UNION ALL
+  SELECT q.key, q.r, q.pos, fit.room - CASE WHEN q.size <= fit.room THEN q.size ELSE 0 END, q.size <= fit.room
+  FROM fit JOIN queue q ON q.key = fit.key AND q.r = fit.r + 1),
+rooms AS (SELECT key, min(room) AS room FROM fit GROUP BY key),
+rest_of AS (SELECT d.key, d.pos, d.size, r.room, sum(d.size) OVER (PARTITION BY d.key ORDER BY d.size, d.pos ROWS UNBOUNDED PRECEDING) AS past
+            FROM docs d JOIN rooms r ON r.key = d.key AND r.room > 0 AND d.size <= r.room
+            WHERE NOT EXISTS (SELECT 1 FROM fit WHERE fit.key = d.key AND fit.pos = d.pos AND fits)),
+short AS (SELECT key, pos, size FROM rest_of WHERE past <= room),
+chosen AS (SELECT key, pos FROM fit WHERE fits UNION ALL SELECT key, pos FROM short),
+lacking AS (SELECT key, room - coalesce((SELECT sum(size) FROM short s WHERE s.key = rooms.key), 0) AS shortfall FROM rooms)
+SELECT doc_id, source, n AS n_tokens, weight, block, whole + CASE WHEN taken OR c.pos IS NOT NULL THEN 1 ELSE 0 END AS copies, block_rank,
+       p.pos + CASE WHEN cut AND c.pos IS NULL THEN 1 ELSE 0 END AS place,
+       CAST(coalesce(shortfall, 0) AS BIGINT) AS shortfall
+FROM placed p JOIN taken t USING (key, block) LEFT JOIN chosen c ON c.key = p.key AND c.pos = p.pos LEFT JOIN lacking l ON l.key = p.key"""
+
 _OP11 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -186,4 +228,4 @@ best AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DES
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM best JOIN total USING (lang) WHERE rank <= 2000"""
 
 SQL = {"op1_benchmark_decontamination": _OP1, "op3_line_dedup": _OP3, "op6_chat_formatting": _OP6, "op8_exact_dedup": _OP8,
-       "op11_exact_topk": _OP11, "op12_phrase_collocations": _OP12}
+       "op9_mixing": _OP9, "op11_exact_topk": _OP11, "op12_phrase_collocations": _OP12}
