@@ -43,8 +43,9 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, weight, block, copies, block_rank and place of every document, no source passed more than twice."""
-    return mixing.mix(docs, repeats=2.0)
+    """doc_id, source, n_tokens, weight, block, copies, block_rank, place and shortfall of every document: 1.9 times the tokens, no
+    source passed more than twice."""
+    return mixing.mix(docs, budget_share=1.9, repeats=2.0)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
