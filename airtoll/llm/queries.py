@@ -22,7 +22,7 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, folder, "documents"))
+    out = line_dedup.line_dedup(table(spark, folder, "documents"), by="sentence", min_words=20)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", "n_chars", "n_removed", "removed_chars", spans.alias("removed_spans"),
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -122,18 +122,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 _OP3 = r"""
-WITH lines AS (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS a FROM documents
-               WHERE text <> ''),
-cut AS (SELECT doc_id, i, length(text) AS n, a[i] || CASE WHEN i < len(a) THEN chr(10) ELSE '' END AS u FROM lines),
-placed AS (SELECT *, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i) - length(u) AS s,
-       trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n\x0B\x0C]+', ' ', 'g')) AS norm FROM cut),
-ranked AS (SELECT *, len(string_split(norm, ' ')) >= 5 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM placed),
-per AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(u)) FILTER (gone), 0) AS removed_chars,
-        string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(s AS BIGINT) + length(u) AS VARCHAR), ',' ORDER BY i) FILTER (gone) AS spans,
-        string_agg(u, '' ORDER BY i) FILTER (NOT gone) AS kept FROM ranked GROUP BY doc_id)
+WITH cut AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:[.!?][ \t\r\x0B\x0C]+|\n|\z)') AS a FROM documents WHERE text <> ''),
+units AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, a FROM cut),
+placed AS (SELECT doc_id, i, a[i] AS u, sum(length(a[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(a[i]) AS s,
+       trim(regexp_replace(translate(a[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n\x0B\x0C]+', ' ', 'g')) AS norm FROM units),
+worded AS (SELECT *, len(string_split(norm, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM placed WHERE norm <> ''),
+repeats AS (SELECT * FROM worded QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1),
+numbered AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM repeats),
+runs AS (SELECT doc_id, run, min(i) AS f, max(i) AS t, CAST(min(s) AS BIGINT) AS s, CAST(max(s + length(u)) AS BIGINT) AS e, count(*) AS n
+         FROM numbered GROUP BY doc_id, run HAVING sum(words) >= 20),
+per AS (SELECT doc_id, sum(n) AS n_removed, sum(e - s) AS removed_chars, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM runs GROUP BY doc_id),
+kept AS (SELECT p.doc_id, string_agg(u, '' ORDER BY i) AS kept FROM placed p LEFT JOIN runs r ON r.doc_id = p.doc_id AND i BETWEEN f AND t
+         WHERE r.doc_id IS NULL GROUP BY p.doc_id)
 SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars, coalesce(spans, '') AS removed_spans, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents LEFT JOIN per USING (doc_id)"""
+FROM documents LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 _OP8 = f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
