@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airtoll.sources.staging import shared_folder
+from airtoll.sources.staging import scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -51,8 +51,13 @@ def one_text_each(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataF
 
 
 def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
-    """Write once into the shared folder, bucketed by a column, and read back; grouping by it needs no shuffle."""
+    """Write once into the shared folder, bucketed by a column, and read back; grouping by it needs no shuffle.
+
+    The catalog's entry goes at once (the files stay, as it names their folder), so nothing is left in it.
+    """
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(name)
-    return spark.table(name)
+    df.write.format("parquet").option("path", scratch_path(spark)).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved here: the plan holds files and buckets
+    spark.sql(f"DROP TABLE {name}")
+    return out
