@@ -143,13 +143,19 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM (SELECT doc_id, {_LOWER} AS norm FROM documents) WINDOW g AS (PARTITION BY norm)"""
 
 _OP2 = rf"""
-WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
        FROM dw WHERE len(w) > 0),
 one AS (SELECT s, min(doc_id) AS a FROM (SELECT doc_id, list_sort(s) AS s FROM sh) GROUP BY s),
 tok AS (SELECT a, len(s) AS n, unnest(s) AS t FROM one),
-common AS (SELECT x.a AS a, y.a AS b, x.n AS n, y.n AS m, count(*) AS c FROM tok x JOIN tok y ON x.t = y.t AND x.a < y.a GROUP BY ALL)
-SELECT a, b FROM common WHERE 100 * c >= 85 * (n + m - c)"""
+common AS (SELECT x.a AS a, y.a AS b, x.n AS n, y.n AS m, count(*) AS c FROM tok x JOIN tok y ON x.t = y.t AND x.a < y.a GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (n + m - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached(a, b) AS (SELECT a, a FROM one UNION SELECT r.a, w.b FROM reached r JOIN both_ways w ON w.a = r.b),
+least AS (SELECT a, min(b) AS component FROM reached GROUP BY a),
+named AS (SELECT sh.doc_id, len(sh.s) AS n, component FROM (SELECT doc_id, list_sort(s) AS s FROM sh) sh JOIN one USING (s) JOIN least USING (a))
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN named USING (doc_id)"""
 
 _OP6 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -160,6 +166,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 10 + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
+_OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+firsts AS (SELECT w, min(doc_id) AS least FROM win GROUP BY w),
+hit AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS new
+        FROM win JOIN firsts USING (w) WHERE least < doc_id),
+numbered AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 50 AS e FROM numbered GROUP BY doc_id, run),
+behind AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS past FROM spans),
+per AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * past + 1, 2 * (s - past)), '' ORDER BY s) AS kept, max(e) AS past
+        FROM behind JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(past, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)"""
+
 _PLACE = "('0x' || substr(md5(concat_ws('|', {})), 1, 13))::BIGINT / 4503599627370496.0"
 _KEPT = "1.9 * list_max(list_transform(ps, lambda x: pow(x, {0} - 1))) / list_sum(list_transform(ps, lambda x: pow(x, {0}))) <= 2.0"
 
@@ -230,5 +251,5 @@ best AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DES
          FROM scored s LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * s.a)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM best JOIN total USING (lang) WHERE rank <= 2000"""
 
-SQL = {"op1_benchmark_decontamination": _OP1, "op3_line_dedup": _OP3, "op6_chat_formatting": _OP6, "op8_exact_dedup": _OP8,
+SQL = {"op1_benchmark_decontamination": _OP1, "op2_minhash_near_dedup": _OP2, "op3_line_dedup": _OP3, "op6_chat_formatting": _OP6, "op7_suffix_array_dedup": _OP7, "op8_exact_dedup": _OP8,
        "op9_mixing": _OP9, "op11_exact_topk": _OP11, "op12_phrase_collocations": _OP12}
