@@ -85,6 +85,45 @@ def tracts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("c_custkey") % 97 != 0, F.array(F.array(ring))).alias("polygons"), "c_custkey")
 
 
+#: Outlines: degrees of a tract's cell, cells in a row, corner of the first one, rows.
+OUTLINE_CELL, OUTLINE_COLUMNS, OUTLINE_LON, OUTLINE_LAT, OUTLINE_ROWS = 1 / 128, 64, -77.0, 10.0, 8192
+
+
+def outlines(spark: SparkSession, folder: str) -> DataFrame:
+    """Tracts in degrees with outlines as real ones have: combs of 67 and, every fiftieth, of 1,027 vertices, squares
+    with a hole, two squares apart; every 97th has no shape."""
+    k = F.col("c_custkey")
+
+    def corner(x: Column, y: Column) -> Column:
+        return F.struct((F.lit(OUTLINE_LON) + (k % OUTLINE_COLUMNS + x) * OUTLINE_CELL).alias("x"),
+                        (F.lit(OUTLINE_LAT) + (F.floor(k / OUTLINE_COLUMNS) % OUTLINE_ROWS + y) * OUTLINE_CELL).alias("y"))
+
+    def box(x0: float, x1: float, y0: float, y1: float) -> Column:
+        return F.array(*[corner(F.lit(x), F.lit(y)) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+
+    teeth = F.when(k % 50 == 0, 256).otherwise(16)
+    pitch = F.lit(0.75) / teeth
+    comb = F.transform(F.sequence(F.lit(0), teeth * 4 - 1), lambda v: corner(
+        F.lit(0.125) + F.floor(v / 4) * pitch + v % 4 * pitch / 4, F.when((v % 4).isin(1, 2), 0.875).otherwise(0.5)))
+    comb = F.concat(comb, F.array(*[corner(F.lit(x), F.lit(y)) for x, y in ((0.875, 0.5), (0.875, 0.125), (0.125, 0.125))]))
+    pierced = F.array(F.array(box(0.125, 0.875, 0.125, 0.875), box(0.375, 0.625, 0.375, 0.625)))
+    apart = F.array(F.array(box(0.125, 0.375, 0.125, 0.875)), F.array(box(0.625, 0.875, 0.125, 0.875)))
+    shape = F.when(k % 3 == 0, F.array(F.array(comb))).when(k % 3 == 1, pierced).otherwise(apart)
+    return table(spark, folder, "customer").select(
+        geoid().alias("GEOID"), F.format_string("%06d", "c_custkey").alias("TRACTCE"), F.when(k % 97 != 0, shape).alias("polygons"))
+
+
+def outline_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings in degrees, in every second column of the lower rows of outlines."""
+    item = table(spark, folder, "lineitem")
+    x = 2 * (F.col("l_partkey") % 32) + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 1000 / 1000.0 + F.lit(0.0005)
+    y = (F.col("l_suppkey") * 3 + F.col("l_partkey")) % 20 + (F.col("l_orderkey") * 11 + F.col("l_suppkey") * 17) % 1000 / 1000.0 + F.lit(0.0005)
+    known = (F.col("l_orderkey") + F.col("l_linenumber")) % 37 != 0
+    return item.select(pollutant().alias("pollutant"), condition().alias("condition"),
+                       (F.lit(OUTLINE_LON) + x * OUTLINE_CELL).alias("longitude"), (F.lit(OUTLINE_LAT) + y * OUTLINE_CELL).alias("latitude"),
+                       F.when(known, level()).alias("Conc"))
+
+
 def boundary_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Tracts as in a boundary file: the shape as well-known text, two vintages."""
     ring = F.array_join(F.transform(F.col("polygons")[0][0], lambda v: F.concat_ws(" ", v["x"], v["y"])), ", ")

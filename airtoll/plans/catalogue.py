@@ -183,6 +183,29 @@ def j2_nearest_receptor(spark: SparkSession, folder: str) -> DataFrame:
                        F.col("first").alias("Nearest_Conc"))
 
 
+@query
+def j1_outline_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Concave outlines of up to 1,027 vertices, with holes and in two parts."""
+    matched = G.points_in_tracts(B.outline_points(spark, folder), B.outlines(spark, folder))
+    return matched.select("pollutant", "condition", "longitude", "latitude", "Conc", "GEOID")
+
+
+@query
+def g6_outline_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """Great-circle distance from outlines to the nearest receptor, in decimetres."""
+    shapes = staged(G.tract_shapes(B.outlines(spark, folder)))
+    sites = staged(G.merge_sites(B.outline_points(spark, folder), SCENARIO))
+    means = staged(G.tract_means(sites, shapes, SCENARIO))
+    near = G.nearest_receptor(shapes, sites, SCENARIO, None, means.select(*SCENARIO, "GEOID"), G.Sphere)
+    return rounded(near.select(*SCENARIO, "GEOID", "distance", "x", "y", F.col("first").alias("Nearest_Conc")), {"distance": 1})
+
+
+@query
+def g7_outline_concentration(spark: SparkSession, folder: str) -> DataFrame:
+    assigned = G.assign_concentration(B.outline_points(spark, folder), B.outlines(spark, folder), SCENARIO, columns=("TRACTCE",))
+    return rounded(assigned, {"Final_Conc": 8})
+
+
 @query
 def g7_assign_concentration(spark: SparkSession, folder: str) -> DataFrame:
     assigned = G.assign_concentration(B.points(spark, folder), B.tracts(spark, folder), SCENARIO,

@@ -110,6 +110,21 @@ def _models(tag: str, keys: list[str], source: str, outcome: str, always: list[s
     }
 
 
+B_RADIUS = "6371010.0"
+
+
+def _hav(lon: str, lat: str, other_lon: str, other_lat: str) -> str:
+    """Metres between two places by the haversine formula."""
+    return (f"(2 * {B_RADIUS} * asin(sqrt(pow(sin(radians(({other_lat}) - ({lat})) / 2), 2)"
+            f" + cos(radians({lat})) * cos(radians({other_lat})) * pow(sin(radians(({other_lon}) - ({lon})) / 2), 2))))")
+
+
+def _bearing(lon: str, lat: str, other_lon: str, other_lat: str) -> str:
+    turn = f"radians({other_lon} - {lon})"
+    return (f"atan2(sin({turn}) * cos(radians({other_lat})), cos(radians({lat})) * sin(radians({other_lat}))"
+            f" - sin(radians({lat})) * cos(radians({other_lat})) * cos({turn}))")
+
+
 VIEWS: dict[str, str] = {
     "tract": f"""
         SELECT c_custkey, {GEOID} AS GEOID, printf('%06d', c_custkey) AS TRACTCE,
@@ -155,6 +170,63 @@ VIEWS: dict[str, str] = {
     "assigned": f"""
         SELECT pollutant, condition, GEOID, mean AS Final_Conc, '{S.AVERAGED}' AS Source FROM inside
         UNION ALL SELECT pollutant, condition, GEOID, best.conc, '{S.NEAREST}' FROM near""",
+    "outline": f"""
+        SELECT c_custkey AS k, {GEOID} AS GEOID, printf('%06d', c_custkey) AS TRACTCE, c_custkey % 64 AS i, c_custkey // 64 % 8192 AS j
+        FROM customer""",
+    "outline_vertex": """
+        SELECT k, 0 AS ring, v, 0.125::DOUBLE + v // 4 * (0.75::DOUBLE / n) + v % 4 * (0.75::DOUBLE / n) / 4 AS px,
+               CASE WHEN v % 4 IN (1, 2) THEN 0.875::DOUBLE ELSE 0.5 END AS py
+        FROM (SELECT k, n, unnest(range(0, 4 * n)) AS v FROM (SELECT k, CASE WHEN k % 50 = 0 THEN 256 ELSE 16 END AS n FROM outline WHERE k % 3 = 0))
+        UNION ALL SELECT k, 0, 5000 + w.v, w.px, w.py FROM outline, (VALUES (0, 0.875, 0.5), (1, 0.875, 0.125), (2, 0.125, 0.125)) w(v, px, py)
+        WHERE k % 3 = 0
+        UNION ALL SELECT k, b.ring, c.v, CASE WHEN c.v IN (1, 2) THEN b.x1 ELSE b.x0 END, CASE WHEN c.v IN (2, 3) THEN b.y1 ELSE b.y0 END
+        FROM outline, (VALUES (1, 0, 0.125, 0.875, 0.125, 0.875), (1, 1, 0.375, 0.625, 0.375, 0.625),
+                              (2, 0, 0.125, 0.375, 0.125, 0.875), (2, 1, 0.625, 0.875, 0.125, 0.875)) b(kind, ring, x0, x1, y0, y1),
+             (VALUES (0), (1), (2), (3)) c(v) WHERE k % 3 = b.kind""",
+    "outline_edge": """
+        SELECT k, i, j, GEOID, ax, ay, coalesce(lead(ax) OVER w, first_value(ax) OVER w) AS ex, coalesce(lead(ay) OVER w, first_value(ay) OVER w) AS ey
+        FROM (SELECT o.*, ring, v, -77.0::DOUBLE + (i + px) * (1.0::DOUBLE / 128) AS ax, 10.0::DOUBLE + (j + py) * (1.0::DOUBLE / 128) AS ay
+              FROM outline o JOIN outline_vertex USING (k) WHERE k % 97 <> 0)
+        WINDOW w AS (PARTITION BY k, ring ORDER BY v)""",
+    "outline_point": f"""
+        SELECT {POLLUTANT} AS pollutant, {CONDITION} AS condition,
+               -77.0::DOUBLE + (2 * (l_partkey % 32) + (l_orderkey * 7 + l_linenumber * 13) % 1000 / 1000.0::DOUBLE
+                   + 0.0005::DOUBLE) * (1.0::DOUBLE / 128) AS x,
+               10.0::DOUBLE + ((l_suppkey * 3 + l_partkey) % 20 + (l_orderkey * 11 + l_suppkey * 17) % 1000 / 1000.0::DOUBLE
+                   + 0.0005::DOUBLE) * (1.0::DOUBLE / 128) AS y,
+               CASE WHEN (l_orderkey + l_linenumber) % 37 <> 0 THEN {LEVEL} END AS conc
+        FROM lineitem""",
+    "outline_inside": """
+        SELECT x, y, GEOID FROM (SELECT DISTINCT x, y FROM outline_point) p
+        JOIN outline_edge e ON e.i = floor((x + 77) * 128) AND e.j = floor((y - 10) * 128)
+        GROUP BY x, y, GEOID
+        HAVING count(*) FILTER ((ax > x) <> (ex > x) AND y < ay + (ey - ay) * (x - ax) / (ex - ax)) % 2 = 1""",
+    "outline_match": "SELECT p.*, GEOID FROM outline_point p LEFT JOIN outline_inside USING (x, y)",
+    "outline_mean": """
+        SELECT pollutant, condition, GEOID, avg(conc) AS mean FROM outline_match WHERE GEOID IS NOT NULL GROUP BY ALL""",
+    "outline_ring": """
+        SELECT k, GEOID, -77.0::DOUBLE + (i + 0.5) / 128 AS mx, 10.0::DOUBLE + (j + 0.5) / 128 AS my FROM outline WHERE k % 97 <> 0""",
+    "outline_far": f"""
+        SELECT pollutant, condition, t.GEOID, s.x, s.y, conc, {_hav('mx', 'my', 's.x', 's.y')} AS d,
+               {_hav('mx', 'my', 'mx - 1 / 256.0', 'my - 1 / 256.0')} AS half
+        FROM outline_ring t, (SELECT DISTINCT pollutant, condition, x, y, conc FROM outline_point) s
+        WHERE NOT EXISTS (SELECT 1 FROM outline_mean m WHERE m.GEOID = t.GEOID AND m.pollutant = s.pollutant AND m.condition = s.condition)""",
+    "outline_least": "SELECT pollutant, condition, GEOID, min(d) + 2.02 * max(half) AS most FROM outline_far GROUP BY ALL",
+    "outline_close": """
+        SELECT f.* FROM outline_far f JOIN outline_least l USING (pollutant, condition, GEOID) WHERE d <= most""",
+    "outline_arc": f"""
+        SELECT pollutant, condition, c.GEOID, x, y, conc, {_hav('ax', 'ay', 'x', 'y')} / {B_RADIUS} AS d13, {_hav('ex', 'ey', 'x', 'y')} / {B_RADIUS} AS d23,
+               {_hav('ax', 'ay', 'ex', 'ey')} / {B_RADIUS} AS d12, {_bearing('ax', 'ay', 'x', 'y')} - {_bearing('ax', 'ay', 'ex', 'ey')} AS turn
+        FROM outline_close c JOIN outline_edge e ON e.GEOID = c.GEOID""",
+    "outline_near": f"""
+        SELECT pollutant, condition, GEOID, min(struct_pack(d := d, x := x, y := y, known := CASE WHEN conc IS NULL THEN 0 ELSE 1 END, conc := conc)) AS best
+        FROM (SELECT pollutant, condition, GEOID, x, y, conc, round(min(CASE WHEN atan2(sin(d13) * cos(turn), cos(d13)) BETWEEN 0 AND d12
+                  THEN abs(asin(sin(d13) * sin(turn))) ELSE least(d13, d23) END) * {B_RADIUS}, 4) AS d
+              FROM outline_arc GROUP BY ALL)
+        GROUP BY ALL""",
+    "outline_assigned": f"""
+        SELECT pollutant, condition, GEOID, mean AS Final_Conc, '{S.AVERAGED}' AS Source FROM outline_mean
+        UNION ALL SELECT pollutant, condition, GEOID, best.conc, '{S.NEAREST}' FROM outline_near""",
     "receptor": f"""
         SELECT 350000 + l_partkey * 37 % 20000 + l_linenumber * 0.25::DOUBLE AS X,
                4340000 + l_orderkey * 13 % 20000 + l_suppkey % 2 * 0.5::DOUBLE AS Y, {LEVEL} AS conc,
@@ -463,6 +535,14 @@ BODIES: dict[str, str] = {
     "j1_points_in_tracts": "SELECT pollutant, condition, GEOID, round(mean, 8) AS Avg_Conc FROM inside",
     "j1_point_matches": """
         SELECT pollutant, condition, x AS longitude, y AS latitude, conc AS Conc, GEOID FROM match""",
+    "j1_outline_matches": """
+        SELECT pollutant, condition, x AS longitude, y AS latitude, conc AS Conc, GEOID FROM outline_match""",
+    "g6_outline_distance": """
+        SELECT pollutant, condition, GEOID, round(best.d, 1) AS distance, best.x AS x, best.y AS y, best.conc AS Nearest_Conc FROM outline_near""",
+    "g7_outline_concentration": """
+        SELECT o.GEOID, TRACTCE, pollutant, condition, round(Final_Conc, 8) AS Final_Conc, Source
+        FROM outline_assigned a JOIN outline o ON a.GEOID = o.GEOID
+        UNION ALL SELECT GEOID, TRACTCE, NULL, NULL, NULL, NULL FROM outline WHERE k % 97 = 0""",
     "j2_nearest_receptor": """
         SELECT pollutant, condition, GEOID, best.d AS distance, best.x AS x, best.y AS y,
                best.conc AS Nearest_Conc FROM near""",
