@@ -9,9 +9,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bits of a digit of an exact sum, and the power of two that its last digit counts. Five digits reach up to 2 ** 76.
+DIGIT, FINEST, DIGITS = 28, -64, 5
+
+
+def exact_sum(column: Column) -> Column:
+    """Sum of doubles that doesn't depend on the order or the partitions in which rows are added; null without values.
+
+    The size of a value is cut into whole digits of 28 bits, from 2 ** 48 down to 2 ** -64, which are summed with its sign as longs: without
+    rounding and for 30 billion rows a group. Only what is below 2 ** -64 of a value is cut off. Carries are settled
+    once, on the sums, to digits from minus to plus half of 2 ** 28, so that equal totals have equal digits and none
+    cancels another; they add up in a fixed order. With a value beyond 2 ** 75,
+    infinite or not a number, it is the plain sum.
+    """
+    powers = [2.0 ** (FINEST + DIGIT * i) for i in reversed(range(DIGITS))]
+    beyond = F.isnan(column) | (F.abs(column) >= 2.0 ** 75)
+    rest, digits = F.when(beyond, F.lit(0.0)).otherwise(F.abs(column.cast("double"))), []
+    sign = F.when(column < 0, F.lit(-1)).otherwise(F.lit(1))
+    for power in powers:
+        digit = F.floor(rest / power)
+        digits.append(F.sum(sign * digit))
+        rest = rest - digit * F.lit(power)  # exact: what is left has no more bits than before
+    wide = F.count_if(beyond) > 0
+    settled, carry, half = [], F.lit(0).cast("long"), F.lit(1 << DIGIT - 1)
+    for digit in reversed(digits[1:]):
+        whole = digit + carry + half
+        settled.append(F.pmod(whole, F.lit(1 << DIGIT)) - half)
+        carry = F.shiftright(whole, DIGIT)
+    settled.append(digits[0] + carry)
+    total = reduce(lambda a, b: a + b, [d.cast("double") * F.lit(p) for d, p in zip(settled, reversed(powers), strict=True)])
+    return F.when(wide, F.sum(column.cast("double"))).otherwise(total)
+
+
 def sum_or_zero(column: Column) -> Column:
-    """Sum that skips missing values and is 0 when nothing is left."""
-    return F.coalesce(F.sum(column), F.lit(0.0))
+    """Sum that skips missing values and is 0 when nothing is left; the same however rows are partitioned."""
+    return F.coalesce(exact_sum(column), F.lit(0.0))
 
 
 def number(column: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airtoll import schemas as S
+from airtoll.functions.columns import category_values
 
 
 def widen_demographics(rows: DataFrame, names: Sequence[str] = tuple(S.DEMOGRAPHICS)) -> DataFrame:
@@ -19,11 +20,36 @@ def widen_demographics(rows: DataFrame, names: Sequence[str] = tuple(S.DEMOGRAPH
     )
 
 
+def spread_vintages(rows: DataFrame, years: Sequence[int], most_years: int | None = None, key: str = "GEOID") -> DataFrame:
+    """rows for each of the years: per key those of its latest release that is not after the year, with that release as `vintage`.
+
+    A release stands for the years up to the next one of its key, so every row is unfolded to the wanted years that
+    it covers; no range join is made, and the window only looks for the next release of a key. A release more than
+    most_years old is not used. A year before a key's first release has no row.
+    """
+    later = Window.partitionBy(key).orderBy("year").rangeBetween(1, Window.unboundedFollowing)
+    wanted = F.array(*[F.lit(int(y)) for y in sorted(set(years))]).cast("array<int>")
+
+    def covered(year: Column) -> Column:
+        stands = (year >= F.col("vintage")) & (F.col("__next").isNull() | (year < F.col("__next")))
+        return stands if most_years is None else stands & (year - F.col("vintage") <= most_years)
+
+    return (rows.withColumn("__next", F.min("year").over(later)).withColumnRenamed("year", "vintage")
+            .withColumn("year", F.explode(F.filter(wanted, covered))).select(*rows.columns, "vintage"))
+
+
+def add_demographics_as_of(concentrations: DataFrame, demographics: DataFrame, most_years: int | None = None) -> DataFrame:
+    """Left join by tract with the latest release not after the scenario year, and its year as `vintage`."""
+    years = [y for y in category_values(concentrations, "year") if y is not None]
+    return add_demographics(concentrations, spread_vintages(demographics, years, most_years), ["GEOID", "year"])
+
+
 def copy_vintage(rows: DataFrame, source: int = 2023, target: int = 2024) -> DataFrame:
     """Use the rows of one year for a later year without a release of its own.
 
     Rows that already carry the target year are not used. Nothing is added when the source
-    year is absent. One scan: each source row is written twice.
+    year is absent. One scan: each source row is written twice. spread_vintages() is the general
+    form; for one pair known beforehand no window over the releases is needed.
     """
     years = (
         F.when(F.col("year") == source, F.array(F.lit(source), F.lit(target)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airtoll import schemas as S
-from airtoll.functions.columns import category_values, clamp, column_label, fixed_text, rank_in, sum_or_zero
+from airtoll.functions.columns import category_values, clamp, column_label, exact_sum, fixed_text, rank_in, sum_or_zero
 from airtoll.operators.demographics import county_of
 from airtoll.operators.impact import add_unit_cost
 from airtoll.sources.staging import staged
@@ -162,7 +162,7 @@ def county_savings_rows(counties: DataFrame, savings: DataFrame) -> DataFrame:
 def county_savings(counties: DataFrame, savings: DataFrame) -> DataFrame:
     """County savings proper: the sum over its tracts by county id, so that equal names stay apart."""
     totals = savings.groupBy(county_of(F.col("GEOID")).alias("GEOID")).agg(
-        F.sum("delta_economic_cost").alias("delta_economic_cost"))
+        exact_sum(F.col("delta_economic_cost")).alias("delta_economic_cost"))
     return counties.join(totals, "GEOID", "left")
 
 

@@ -216,6 +216,14 @@ def demographics_by_year(spark: SparkSession, folder: str, gaps: bool = False) -
     return D.copy_vintage(D.widen_demographics(demographics_long(spark, folder, gaps)), *COPIED)
 
 
+def releases(spark: SparkSession, folder: str) -> DataFrame:
+    """Demographics as they are released: of the years of a tract about every third, some tracts from 1998 on only."""
+    released = (F.col("key") * 7 + F.col("year") * 11) % 13 < 4
+    late = (F.col("key") % 5 != 0) | (F.col("year") >= 1998)
+    wide = D.widen_demographics(demographics_long(spark, folder, gaps=True)).withColumn("key", F.substring("NAME", 7, 20).cast("long"))
+    return wide.filter(released & late).drop("key")
+
+
 def rates(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
     """Text rates per nation and year; nation 11 has an unreadable one and, with gaps, nation 7 none."""
     n, step = F.col("n_nationkey"), F.col("year") - 1995

@@ -238,6 +238,19 @@ def j4_conc_demographics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(joined, {"Final_Conc": 8})
 
 
+@query
+def d3_vintages_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Releases with gaps of several years: each scenario year takes a tract's latest one not after it."""
+    joined = D.add_demographics_as_of(B.concentrations(spark, folder, "year"), B.releases(spark, folder))
+    return rounded(joined, {"Final_Conc": 8})
+
+
+@query
+def d3_vintages_within_two_years(spark: SparkSession, folder: str) -> DataFrame:
+    joined = D.add_demographics_as_of(B.concentrations(spark, folder, "year"), B.releases(spark, folder), most_years=2)
+    return joined.select("GEOID", "pollutant", "year", "vintage", "total_pop")
+
+
 @query
 def j4_unmatched_tracts(spark: SparkSession, folder: str) -> DataFrame:
     return D.unmatched_tracts(B.concentrations(spark, folder, "year"),

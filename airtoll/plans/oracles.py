@@ -263,6 +263,9 @@ VIEWS: dict[str, str] = {
                CAST(c_custkey * 13 % 500 AS DOUBLE) AS asian, CAST(c_custkey * 17 % 700 AS DOUBLE) AS hispanic,
                CAST(30000 + c_custkey * 19 % 90000 AS DOUBLE) AS median_income
         FROM customer, (SELECT unnest(range(1995, 2002)) AS year) y""",
+    "release": """
+        SELECT *, year AS released FROM people WHERE c_custkey % 101 <> 0 AND year <= 2000 AND (c_custkey * 7 + year * 11) % 13 < 4
+        AND (c_custkey % 5 <> 0 OR year >= 1998)""",
     "some_people": "SELECT * FROM people WHERE c_custkey % 101 <> 0",
     "rate": """
         SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS county_fips, y.year,
@@ -285,6 +288,9 @@ VIEWS: dict[str, str] = {
         SELECT t.*, pollutant, year, Final_Conc FROM (
             SELECT o_custkey, {POLLUTANT} AS pollutant, year(l_shipdate) AS year, avg({LEVEL}) AS Final_Conc
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) JOIN tract t ON c_custkey = o_custkey""",
+    "release_of": """
+        SELECT c.GEOID, c.year, max(r.released) AS vintage FROM (SELECT DISTINCT GEOID, year FROM conc_y) c
+        JOIN release r ON r.GEOID = c.GEOID AND r.released <= c.year GROUP BY ALL""",
     "long_c": f"""
         SELECT c.*, p.total_pop, p.white, p.black, p.asian, p.hispanic, p.median_income,
                unnest([{', '.join(f"struct_pack(endpoint := {_text(e)}, rate := r.{c})" for c, e in PAIRS)}],
@@ -560,6 +566,15 @@ BODIES: dict[str, str] = {
         SELECT c.GEOID, TRACTCE, c.NAME, NAMELSADCO, STATEFP, county_fips, pollutant, c.year,
                round(Final_Conc, 8) AS Final_Conc, {PEOPLE}
         FROM conc_y c LEFT JOIN some_people p ON p.GEOID = c.GEOID AND p.year = c.year""",
+    "d3_vintages_as_of": f"""
+        SELECT c.GEOID, TRACTCE, c.NAME, NAMELSADCO, STATEFP, county_fips, pollutant, c.year,
+               round(Final_Conc, 8) AS Final_Conc, {PEOPLE}, o.vintage
+        FROM conc_y c LEFT JOIN release_of o ON o.GEOID = c.GEOID AND o.year = c.year
+        LEFT JOIN release r ON r.GEOID = c.GEOID AND r.released = o.vintage""",
+    "d3_vintages_within_two_years": """
+        SELECT c.GEOID, pollutant, c.year, r.released AS vintage, total_pop
+        FROM conc_y c LEFT JOIN release_of o ON o.GEOID = c.GEOID AND o.year = c.year AND c.year - o.vintage <= 2
+        LEFT JOIN release r ON r.GEOID = c.GEOID AND r.released = o.vintage""",
     "j4_unmatched_tracts": """
         SELECT c.year, count(*) AS unmatched_rows, count(DISTINCT c.GEOID) AS unmatched_tracts
         FROM conc_y c ANTI JOIN some_people p ON p.GEOID = c.GEOID AND p.year = c.year GROUP BY ALL""",
