@@ -1,7 +1,7 @@
 """Grouped Gaussian linear models from sufficient statistics.
 
-A group is never collected: facts are reduced to sums, and a model is solved from the one row
-that is left of its group.
+A group is never collected: facts are reduced to sums, or to the triangle of an orthogonal
+decomposition, and a model is solved from the one row that is left of its group.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from airtoll.functions.columns import join_null_safe
 from airtoll.functions.student import half_width_factor, p_value
 from airtoll.sources.staging import staged
 
-ALIAS_TOLERANCE = 1e-11  # share of a term's variation left after the earlier terms
+ALIAS_TOLERANCE = 1e-11  # share of a term's length left after the earlier terms
 INTERCEPT = "(Intercept)"
 
 
@@ -89,18 +90,23 @@ FIT_FIELDS = [
 
 
 GROUPS_HELD = 2000
+BRANCHES = 64  # triangles of a group that are merged in one task, before those are
 
 
-def _cross_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial sums of products of all column pairs (upper triangle) per group of one partition."""
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """Upper triangle of an orthogonal decomposition of the rows, square: it has their products, without squaring them."""
+    size = rows.shape[1]
+    r = np.linalg.qr(rows, mode="r")
+    return np.vstack([r, np.zeros((size - len(r), size))]) if len(r) < size else r
+
+
+def _triangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One triangle per group of one partition."""
     held: dict[int, np.ndarray] = {}
 
-    def partial() -> pd.DataFrame:
-        ids, sums = list(held), [gram[np.triu_indices(len(gram))] for gram in held.values()]
-        size = len(sums[0]) if sums else 0
-        return pd.DataFrame({"group_id": np.repeat(np.asarray(ids, np.int64), size),
-                             "at": np.tile(np.arange(size, dtype=np.int32), len(ids)),
-                             "s": np.concatenate(sums) if sums else np.empty(0)})
+    def told() -> pd.DataFrame:
+        branch = np.arange(len(held)) + TaskContext.get().partitionId()
+        return pd.DataFrame({"group_id": np.asarray(list(held), np.int64), "branch": branch % BRANCHES, "r": [r.tobytes() for r in held.values()]})
 
     for batch in batches:
         ids, values = batch["group_id"].to_numpy(), batch.drop(columns="group_id").to_numpy(float)
@@ -108,40 +114,53 @@ def _cross_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, starts = np.unique(ids[order], return_index=True)
         for name, at in zip(names, np.split(order, starts[1:]), strict=True):
             part = values[at]
-            held[name] = held.get(name, 0.0) + part.T @ part
+            held[name] = triangle(np.vstack([held[name], part]) if name in held else part)
         if len(held) > GROUPS_HELD:
-            yield partial()
+            yield told()
             held.clear()
-    yield partial()
+    yield told()
+
 
+def _merged(size: int):
+    """The triangle of several stacked ones."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(r).reshape(size, size) for r in frame["r"]]
+        out = parts[0]
+        for part in parts[1:]:
+            out = triangle(np.vstack([out, part]))
+        return frame.head(1).assign(r=[out.tobytes()])
+    return run
 
-def _solve(gram: np.ndarray, cross: np.ndarray, total: float, n: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """Centred least squares with aliased terms left out in the given order.
 
-    Returns estimates, standard errors (nan where aliased), degrees of freedom and the inverse.
+def _solve(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Least squares of y on the columns of x, in whose span only those are kept that stand out from the ones before.
+
+    x and y are columns of a triangle that stands for n rows. Returns estimates, standard errors (nan
+    where a column is left out) and degrees of freedom.
     """
-    p = len(cross)
-    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
-    unit = gram / np.outer(scale, scale)
+    p = x.shape[1]
     kept: list[int] = []
+    basis: list[np.ndarray] = []
     for j in range(p):
-        left = unit[j, j]
-        if kept:
-            left -= unit[j, kept] @ np.linalg.solve(unit[np.ix_(kept, kept)], unit[kept, j])
-        if left > ALIAS_TOLERANCE and len(kept) < n - 1:
+        left = x[:, j].copy()
+        for _ in range(2):  # the second time takes what rounding left of the first
+            for q in basis:
+                left -= q * (q @ left)
+        norm = np.linalg.norm(left)
+        if norm > ALIAS_TOLERANCE * np.linalg.norm(x[:, j]) and len(kept) < n:
             kept.append(j)
-    estimate, error, inverse = np.full(p, np.nan), np.full(p, np.nan), np.zeros((p, p))
-    df = n - 1 - len(kept)
-    rest = total
+            basis.append(left / norm)
+    estimate, error = np.full(p, np.nan), np.full(p, np.nan)
+    df = n - len(kept)
     if kept:
-        at = np.ix_(kept, kept)
-        b = np.linalg.solve(unit[at], cross[kept] / scale[kept])
-        estimate[kept] = b / scale[kept]
-        inverse[at] = np.linalg.inv(unit[at]) / np.outer(scale[kept], scale[kept])
-        rest = max(total - float(b @ (cross[kept] / scale[kept])), 0.0)
-    if df > 0:
-        error[kept] = np.sqrt(rest / df * np.diag(inverse)[kept])
-    return estimate, error, df, inverse
+        q = np.stack(basis, axis=1)
+        upper = np.triu(q.T @ x[:, kept])
+        estimate[kept] = np.linalg.solve(upper, q.T @ y)
+        rest = y - q @ (q.T @ y)
+        if df > 0:
+            inverse = np.linalg.inv(upper)
+            error[kept] = np.sqrt(float(rest @ rest) / df) * np.linalg.norm(inverse, axis=1)
+    return estimate, error, df
 
 
 def multivariate_fits(data: DataFrame, keys: Sequence[str], outcome: str, candidates: Sequence[str],
@@ -150,9 +169,9 @@ def multivariate_fits(data: DataFrame, keys: Sequence[str], outcome: str, candid
 
     `selection` holds (keys, svi_variables). A group without selected variables is fitted on the
     `always` terms, or left out when require_selected is set. Rows with a missing outcome or a
-    missing model variable are left out of that group's model. Two grouped aggregations: means of
-    the complete rows, then cross products of the centred values, summed per partition before the
-    shuffle; `data` is read twice and should be staged.
+    missing model variable are left out of that group's model. Rows of a partition are reduced to a triangle per group, which is
+    as well conditioned as the rows themselves; triangles are merged in two steps, the first by branches, and aliased
+    terms are left out at the end. `data` is read twice and should be staged.
     """
     terms = [*candidates, *always]
     how = "inner" if require_selected else "left"
@@ -171,47 +190,27 @@ def multivariate_fits(data: DataFrame, keys: Sequence[str], outcome: str, candid
         "svi_variables")
     columns = [f"t{i}" for i in range(len(terms) + 1)]
     # one row per group; staged, so that the group numbers stay what they are
-    means = staged(rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.first("svi_variables").alias("used"),
-        *[F.avg(c).alias(f"m_{c}") for c in columns]
-    ).withColumn("group_id", F.monotonically_increasing_id()))
-    centres = means.select(*keys, "group_id", *[f"m_{c}" for c in columns])
-    centred = join_null_safe(rows.select(*keys, *columns), centres, keys).select(
-        "group_id", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = (
-        centred.mapInPandas(_cross_products, "group_id long, at int, s double")
-        .groupBy("group_id", "at").agg(F.sum("s").alias("s"))
-        .groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("sums"))
-    )
-    groups = means.join(sums, "group_id").select(
-        *keys, "n", "used", F.array(*[f"m_{c}" for c in columns]).alias("means"),
-        F.col("sums.s").alias("sums"))
+    groups = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("svi_variables").alias("used"))
+                    .withColumn("group_id", F.monotonically_increasing_id()))
+    named = join_null_safe(rows.select(*keys, *columns), groups.select(*keys, "group_id"), keys)
+    size = len(columns) + 1
+    found = named.select("group_id", F.lit(1.0).alias("one"), *columns[1:], columns[0]).mapInPandas(_triangles, "group_id long, branch int, r binary")
+    for level in (["group_id", "branch"], ["group_id"]):
+        found = found.groupBy(*level).applyInPandas(_merged(size), "group_id long, branch int, r binary")
+    groups = groups.join(found.drop("branch"), "group_id").drop("group_id")
 
     schema = T.StructType([*[f for f in data.select(*keys).schema.fields], *FIT_FIELDS])
     keys, candidates, always = list(keys), list(candidates), list(always)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(terms) + 1
         for batch in batches:
             out: list[tuple] = []
             for row in batch.itertuples(index=False):
                 group, n = tuple(row[: len(keys)]), int(row.n)
-                sums = np.zeros((size, size))
-                for (i, j), s in zip(pairs, row.sums, strict=True):
-                    sums[i, j] = sums[j, i] = s
+                r = np.frombuffer(row.r).reshape(size, size)
                 names = [v for v in candidates if v in set(row.used)] + always
-                at = [terms.index(v) + 1 for v in names]
-                means_of = np.asarray(row.means, float)
-                estimate, error, df, inverse = _solve(sums[np.ix_(at, at)], sums[at, 0], sums[0, 0], n)
-                solid = np.nan_to_num(estimate)
-                constant = means_of[0] - float(solid @ means_of[at])
-                spread = np.nan
-                if df > 0:
-                    rest = max(sums[0, 0] - float(solid @ sums[at, 0]), 0.0)
-                    spread = float(np.sqrt(rest / df * (1 / n + means_of[at] @ inverse @ means_of[at])))
-                out.append((*group, INTERCEPT, constant, spread, df, n))
-                out.extend((*group, v, b, e, df, n) for v, b, e in zip(names, estimate, error, strict=True))
+                estimate, error, df = _solve(r[:, [0, *(terms.index(v) + 1 for v in names)]], r[:, -1], n)
+                out.extend((*group, v, b, e, df, n) for v, b, e in zip([INTERCEPT, *names], estimate, error, strict=True))
             yield pd.DataFrame(out, columns=schema.names)
 
     fitted = groups.mapInPandas(solve, schema)

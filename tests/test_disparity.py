@@ -179,3 +179,25 @@ def test_statistics_of_a_hot_group_leave_one_row_per_group(spark):
         (F.col("id") % 101).cast("double").alias("x"), (F.col("id") % 101 * 3.0 + F.col("id") % 7).alias("y"))
     fits = M.univariate_fits(df, ["k"], "y", ["x"])
     assert fits.count() == df.select("k").distinct().count()
+
+
+def test_nearly_collinear_indicators_agree_with_least_squares(spark):
+    """Two indicators with a correlation of 1 - 1e-9, with means far from zero, over many partitions."""
+    r = np.random.default_rng(5)
+    n = 4000
+    a = 50 + r.normal(size=n)
+    b = 1000 + a + r.normal(size=n) * np.std(a) * np.sqrt(2e-9)
+    assert 1 - 2e-9 < np.corrcoef(a, b)[0, 1] < 1 - 5e-10
+    y = 3 + 2 * a - 1.5 * b + r.normal(size=n) * 1e-6
+    data = spark.createDataFrame([("k", float(u), float(v), 2 * float(u), float(w)) for u, v, w in zip(a, b, y)],
+                                 "k string, a double, b double, twice double, y double").repartition(13)
+    selection = spark.createDataFrame([("k", ["a", "b", "twice"])], "k string, svi_variables array<string>")
+    fits = {x["term"]: x for x in M.multivariate_fits(data, ["k"], "y", ["a", "b", "twice"], [], selection, True).collect()}
+    x = np.column_stack([np.ones(n), a, b])
+    want, *_ = np.linalg.lstsq(x, y, rcond=None)
+    q, upper = np.linalg.qr(x)
+    rest = y - q @ (q.T @ y)
+    error = np.sqrt(rest @ rest / (n - 3)) * np.linalg.norm(np.linalg.inv(upper), axis=1)
+    for name, b_, e in zip(("(Intercept)", "a", "b"), want, error):
+        assert fits[name]["estimate"] == pytest.approx(b_, rel=1e-6) and fits[name]["std_error"] == pytest.approx(e, rel=1e-6)
+    assert fits["twice"]["estimate"] is None and fits["a"]["df"] == n - 3 and abs(fits["a"]["estimate"] - 2) < 0.01
