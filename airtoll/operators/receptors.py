@@ -81,17 +81,31 @@ def monitor_ids(receptors: DataFrame, files: Sequence[str] = ("file_name",)) ->
     return numbered.withColumn("Monitor Name", F.concat(F.lit("M"), padded)).drop("group_number", "row_number")
 
 
+def monitor_ids_in_order(receptors: DataFrame, files: Sequence[str] = ("file_name",), position: str = "row_number") -> DataFrame:
+    """Monitor names by the place of a row in its file (from 1), as the files stand: `M%03d` from i * 100 + 1 for file i.
+
+    The place comes from the scan, so nothing is sorted; only the names of files are ranked.
+    """
+    names = receptors.select(*files).distinct().withColumn("__file", F.row_number().over(Window.orderBy(*files)))
+    numbered = join_null_safe(receptors, names, files)
+    text = ((F.col("__file") - 1) * IDS_PER_FILE + F.col(position)).cast("string")
+    padded = F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)
+    return numbered.withColumn("Monitor Name", F.concat(F.lit("M"), padded)).drop("__file", position)
+
+
 def reformat_receptors(receptors: DataFrame, epsg: int = 32618, places: DataFrame | None = None,
                        place_grid: Grid | None = None) -> DataFrame:
     """Raw grids (X, Y, concentration, file_name) to monitor tables, all files at once.
 
+    Rows that tell their place in the file (`row_number`) are numbered by it, others in (Y, X) order.
     `places` (place, longitude, latitude) stands in for a reverse geocoder: a site is described
     by its nearest place, or as unknown where no gazetteer is given.
     """
     zone, south = zone_of_epsg(epsg)
     lon, lat = utm_to_lon_lat(F.col("X"), F.col("Y"), zone, south)
     placed = receptors.filter(F.col("X").isNotNull() & F.col("Y").isNotNull())
-    sites = monitor_ids(placed).withColumns({"Longitude": lon, "Latitude": lat})
+    numbered = monitor_ids_in_order(placed) if "row_number" in placed.columns else monitor_ids(placed)
+    sites = numbered.withColumns({"Longitude": lon, "Latitude": lat})
     if places is None:
         sites = sites.withColumn("Monitor Description", F.lit(S.UNKNOWN_PLACE))
     else:

@@ -15,6 +15,7 @@ from airtoll import schemas as S
 from airtoll.operators import demographics as D
 from airtoll.operators import impact as I
 from airtoll.operators.disparity import vulnerability_table
+from airtoll.sources import reports as P
 
 YEARS = list(range(1995, 2002))
 COPIED = (2000, 2001)
@@ -161,6 +162,28 @@ def receptors(spark: SparkSession, folder: str) -> DataFrame:
         level().alias(S.CONCENTRATION_HEADING), F.lit(None).cast("string").alias("ZELEV"), name.alias("file_name"))
 
 
+#: Columns of receptor files by year modulo three, in their order.
+LAYOUTS = [["X", "Y", S.CONCENTRATION_HEADING, "ZELEV"], [S.CONCENTRATION_HEADING, "ZELEV", "Y", "X", "NOTE"], ["Y", "NOTE", "X"]]
+
+
+def receptor_files(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """Raw grids as files of three layouts, rows in the order of the items: columns in other places, missing, further ones.
+
+    Of the second layout's files, those of one pollutant have notes; the elevation is empty everywhere.
+    """
+    item = table(spark, folder, "lineitem")
+    stem = F.concat(F.lit("Plant "), F.year("l_shipdate").cast("string"), F.lit(" "), pollutant(), F.lit(" Annual"))
+    note = F.when((pollutant() == "PM") | (F.year("l_shipdate") % 3 == 2), F.concat(F.lit("row, "), F.col("l_linenumber").cast("string")))
+    rows = item.select(
+        (350000 + F.col("l_partkey") * 37 % 20000 + F.col("l_linenumber") * F.lit(0.25)).alias("X"),
+        (4340000 + F.col("l_orderkey") * 13 % 20000 + F.col("l_suppkey") % 2 * F.lit(0.5)).alias("Y"),
+        level().alias(S.CONCENTRATION_HEADING), F.lit(None).cast("string").alias("ZELEV"), note.alias("NOTE"),
+        F.year("l_shipdate").alias("year"), F.coalesce(stem, F.lit("")).alias("stem"), "l_orderkey", "l_linenumber")
+    order = ["stem", "l_orderkey", "l_linenumber", "X", "Y", F.col(f"`{S.CONCENTRATION_HEADING}`")]
+    return [rows.filter(F.col("year") % 3 == i).repartition("stem").sortWithinPartitions(*order).select(
+        *[F.col(f"`{c}`") for c in columns], "stem") for i, columns in enumerate(LAYOUTS)]
+
+
 def places(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select(
         F.col("s_name").alias("place"),
@@ -405,6 +428,19 @@ def month_lines(spark: SparkSession, folder: str) -> DataFrame:
                        F.concat(head, *cells).alias("line"))
 
 
+def section_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Run logs as files (stem, line), in the order of their lines: two tables of one layout under different headings."""
+    rows = month_lines(spark, folder).select(
+        F.coalesce(F.regexp_replace("file_name", r"\.LOG$", ""), F.lit("")).alias("stem"),
+        F.regexp_extract("line", r"^\s*(\d+)", 1).cast("int").alias("sector"), "line")
+    tables = F.array(*[F.struct(F.lit(i).alias("table"), line.alias("line")) for i, line in enumerate(
+        (F.col("line"), F.regexp_replace("line", r"\.(\d)(\d)(\d)(?=\s|$)", ".$3$2$1")))])
+    unfolded = rows.select("stem", "sector", F.inline(tables))
+    heads = rows.select("stem").distinct().select("stem", F.lit(0).alias("sector"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("table"), F.lit(f" {name}").alias("line")) for i, name in enumerate((P.MONTHLY_SECTION, P.FETCH_SECTION))])))
+    return unfolded.unionByName(heads).repartition("stem").sortWithinPartitions("stem", "table", "sector").select("line", "stem")
+
+
 def cover_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Land-cover count tables of the run logs, with their Total row, which is wrong at every fifth site."""
     sectors = list(range(1, 13))

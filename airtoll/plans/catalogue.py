@@ -21,7 +21,7 @@ from airtoll.operators import rollup as U
 from airtoll.operators import spatial as G
 from airtoll.plans import bindings as B
 from airtoll.sources import reports as P
-from airtoll.sources import emissions, sinks, tables
+from airtoll.sources import emissions, ordered, sinks, tables
 from airtoll.sources.staging import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,47 @@ def s12_monitor_files(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("*", *[v.alias(k) for k, v in R.year_keys(F.col("file_name")).items()])
 
 
+@query
+def s12_named_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One file per input under its name, read back."""
+    monitors = rounded(R.reformat_receptors(B.receptors(spark, folder)), {"Latitude": 7, "Longitude": 7})
+    path = scratch_path(spark)
+    sinks.write_named_files(monitors, path)
+    return tables.read_monitors(spark, path)
+
+
+def _receptor_folder(spark: SparkSession, folder: str) -> str:
+    path = scratch_path(spark)
+    for rows in B.receptor_files(spark, folder):
+        rows.write.mode("append").partitionBy("stem").option("header", True).option("nullValue", "NA").csv(path)
+    return path
+
+
+BLOCK = 32 << 10  # small blocks, so that files of the test tables are split
+
+
+@query
+def s1_mixed_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose columns differ, each read by its own heading."""
+    rows = tables.receptors_of(ordered.read_mixed_folder(spark, _receptor_folder(spark, folder), block_bytes=BLOCK))
+    return rows.select("file_name", "X", "Y", F.col(f"`{S.CONCENTRATION_HEADING}`").alias("conc"), "NOTE", "ZELEV")
+
+
+@query
+def p1_kept_columns_by_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Empty columns judged per file."""
+    rows = ordered.read_mixed_folder(spark, _receptor_folder(spark, folder), block_bytes=BLOCK)
+    return ordered.kept_columns(rows).select("file_name", F.array_join("kept", ", ").alias("kept_columns"))
+
+
+@query
+def w1_file_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Monitor names by the place of a row in its file, read in several blocks."""
+    rows = tables.receptors_of(ordered.read_mixed_folder(spark, _receptor_folder(spark, folder), block_bytes=BLOCK))
+    return R.monitor_ids_in_order(rows).select("file_name", "X", "Y", F.col(f"`{S.CONCENTRATION_HEADING}`").alias("conc"),
+                                               F.col("Monitor Name").alias("monitor"))
+
+
 @query
 def s13_inventory_file(spark: SparkSession, folder: str) -> DataFrame:
     long = N.unpivot_inventory(emissions.read_inventory(spark, _as_csv(B.inventory(spark, folder))))
@@ -660,6 +701,17 @@ def x8_annual_roughness(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(A.annual_roughness(monthly, P.site_values(B.site_lines(spark, folder))), {"monthly_mean": 6})
 
 
+@query
+def x8_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tables of one layout, told apart by the heading above them."""
+    path = scratch_path(spark)
+    B.section_lines(spark, folder).write.partitionBy("stem").text(path)
+    lines = staged(ordered.with_section(ordered.ordered_lines(spark, path, block_bytes=BLOCK), P.SECTION_LINE))
+    tables_ = [P.monthly_roughness(lines.filter(F.col("section") == name).drop("section")).withColumn("section", F.lit(name))
+               for name in (P.MONTHLY_SECTION, P.FETCH_SECTION)]
+    return tables_[0].unionByName(tables_[1]).select("section", "site", "year", "sector", "month", "roughness")
+
+
 @query
 def x9_cover_check(spark: SparkSession, folder: str) -> DataFrame:
     return A.cover_check(P.cover_counts(B.cover_lines(spark, folder)))

@@ -13,6 +13,7 @@ from airtoll import schemas as S
 from airtoll.functions.geodesy import RECTIFYING_RADIUS, TO_CONFORMAL, TO_GEODETIC, UTM_SCALE
 from airtoll.functions.student import NORMAL_975
 from airtoll.plans import bindings as B
+from airtoll.sources import reports as P
 
 PAIRS = list(S.ENDPOINT_OF_RATE.items())
 SVI_NAMES = list((S.SVI_RANKS | S.SVI_INDICATORS).items())
@@ -232,6 +233,13 @@ VIEWS: dict[str, str] = {
                4340000 + l_orderkey * 13 % 20000 + l_suppkey % 2 * 0.5::DOUBLE AS Y, {LEVEL} AS conc,
                'Plant ' || year(l_shipdate) || ' ' || {POLLUTANT} || ' Annual.csv' AS file_name
         FROM lineitem""",
+    "mixed": f"""
+        SELECT file_name, X, Y, CASE WHEN yr % 3 <> 2 THEN conc END AS conc, k, n, conc AS c0, yr % 3 AS layout,
+               CASE WHEN yr % 3 = 2 OR yr % 3 = 1 AND pollutant = 'PM' THEN 'row, ' || n END AS note
+        FROM (SELECT 350000 + l_partkey * 37 % 20000 + l_linenumber * 0.25::DOUBLE AS X, year(l_shipdate) AS yr, {POLLUTANT} AS pollutant,
+                     4340000 + l_orderkey * 13 % 20000 + l_suppkey % 2 * 0.5::DOUBLE AS Y, {LEVEL} AS conc, l_orderkey AS k, l_linenumber AS n,
+                     'Plant ' || year(l_shipdate) || ' ' || {POLLUTANT} || ' Annual.csv' AS file_name
+              FROM lineitem)""",
     "utm0": f"""
         SELECT DISTINCT X, Y, Y / {SCALE!r} AS xi, (X - 500000) / {SCALE!r} AS eta FROM receptor""",
     "utm1": f"""
@@ -418,6 +426,12 @@ VIEWS: dict[str, str] = {
     "sector_item": """
         SELECT year(l_shipdate) + 19 AS year, l_suppkey // 4 AS site_no, l_partkey % 12 + 1 AS sector, month(l_shipdate) AS month,
                l_linenumber, CAST(l_quantity AS INTEGER) AS class FROM lineitem""",
+    "month_cell": """
+            SELECT k.site, k.year, k.sector, CAST(k.month AS INTEGER) AS month, CASE WHEN site_no % 2 = 0 THEN k.s % 1000 + CASE WHEN k.month = 1 THEN 4 ELSE 0 END
+                   ELSE coalesce(m.s, 0) % 1000 END AS n
+            FROM (SELECT 'S' || site_no AS site, site_no, year, sector, unnest(range(1, 13)) AS month, s
+                  FROM (SELECT site_no, year, sector, sum(l_linenumber) AS s FROM sector_item GROUP BY ALL)) k
+            LEFT JOIN (SELECT site_no, year, sector, month, sum(l_linenumber) AS s FROM sector_item GROUP BY ALL) m USING (site_no, year, sector, month)""",
     "site_value": """
         SELECT year, site_no, 'S' || site_no AS site, sector, count(*) % 100 / 100.0::DOUBLE AS albedo,
                CAST(sum(l_linenumber) AS BIGINT) % 1000 AS s,
@@ -716,6 +730,17 @@ BODIES: dict[str, str] = {
         SELECT 'reformatted_' || r.file_name AS file_name, CAST(regexp_extract(r.file_name, '[0-9]{4}') AS INTEGER) AS year,
                split_part(r.file_name, ' ', 3) AS pollutant, round(lat, 7) AS latitude, round(lon, 7) AS longitude, conc AS "Conc"
         FROM receptor r JOIN lonlat n ON r.X = n.X AND r.Y = n.Y""",
+    "s12_named_files": """
+        SELECT 'reformatted_' || r.file_name AS file_name, round(lat, 7) AS latitude, round(lon, 7) AS longitude, conc AS "Conc"
+        FROM receptor r JOIN lonlat n ON r.X = n.X AND r.Y = n.Y""",
+    "s1_mixed_headings": "SELECT file_name, X, Y, conc, note AS NOTE, CAST(NULL AS VARCHAR) AS ZELEV FROM mixed",
+    "p1_kept_columns_by_file": """
+        SELECT file_name, CASE WHEN max(layout) < 2 THEN 'Concentration (AVERAGE CONC) [ug/m^3], ' ELSE '' END
+            || CASE WHEN count(note) > 0 THEN 'NOTE, ' ELSE '' END || 'X, Y' AS kept_columns FROM mixed GROUP BY file_name""",
+    "w1_file_order": """
+        SELECT file_name, X, Y, conc, 'M' || CASE WHEN id < 1000 THEN lpad(CAST(id AS VARCHAR), 3, '0') ELSE CAST(id AS VARCHAR) END AS monitor
+        FROM (SELECT m.*, f.at * 100 + row_number() OVER (PARTITION BY m.file_name ORDER BY k, n, X, Y, c0) AS id FROM mixed m
+              JOIN (SELECT file_name, row_number() OVER (ORDER BY file_name) - 1 AS at FROM (SELECT DISTINCT file_name FROM mixed)) f USING (file_name))""",
     "s13_inventory_file": "SELECT registry_id, pollutant_name, year, pounds FROM pounds",
     "x1_inventory_long": """
         SELECT registry_id, pollutant_name, 'Pounds' AS unit_of_measure, year, pounds FROM pounds""",
@@ -749,6 +774,10 @@ BODIES: dict[str, str] = {
                   SELECT year, site_no, sector, sum(CAST(s AS BIGINT) % 1000 / 1000.0::DOUBLE) / 12 AS mean FROM (
                       SELECT year, site_no, sector, month, sum(l_linenumber) AS s FROM sector_item GROUP BY ALL) GROUP BY ALL) m
               USING (year, site_no, sector))""",
+    "x8_sections": f"""
+        SELECT '{P.MONTHLY_SECTION}' AS section, site, year, sector, month, n / 1000.0::DOUBLE AS roughness FROM month_cell
+        UNION ALL SELECT '{P.FETCH_SECTION}', site, year, sector, month,
+               (n // 1000 * 1000 + n % 10 * 100 + n // 10 % 10 * 10 + n // 100 % 10) / 1000.0::DOUBLE FROM month_cell""",
     "x9_cover_check": """
         SELECT site, year, sector, class_sum, class_sum + extra AS total, classes, extra = 0 AS agrees FROM (
             SELECT 'S' || site_no AS site, year, s.sector, count(*) FILTER (WHERE i.sector = s.sector) AS class_sum,
