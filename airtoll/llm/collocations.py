@@ -253,7 +253,7 @@ def decimal(c: Column | str) -> Column:
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = 30, most_words: int = 4, covered_percent: int = 80,
-                 top: int = 2000, hot: int = 100_000, route_rows: int = 200_000, chunk_bytes: int = 4 << 20) -> DataFrame:
+                 top: int = 2000, hot: int = 100_000, route_rows: int = 100_000, chunk_bytes: int = 2 << 20) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` best phrases of 2 to most_words words of each language.
 
     a is the count of the phrase, l and r those of the parts at its weakest cut, n the words of the
