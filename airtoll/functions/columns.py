@@ -62,6 +62,8 @@ def category_values(df: DataFrame, column: str, first: Sequence = ()) -> list:
     found = [r[0] for r in df.select(column).distinct().limit(MAX_COLUMNS + 1).collect()]
     if len(found) > MAX_COLUMNS:
         raise ValueError(f"{column} has more than {MAX_COLUMNS} values")
+    if None in found and column_label(None) in found:
+        raise ValueError(f"{column} has both missing values and the value {column_label(None)}, which would share a heading")
     others = sorted((v for v in found if v is not None and v not in first), key=lambda v: (str(type(v)), v))
     return [*first, *others, *([None] if None in found and None not in first else [])]
 

@@ -13,10 +13,10 @@ from airtoll.functions.columns import category_values
 
 
 def widen_demographics(rows: DataFrame, names: Sequence[str] = tuple(S.DEMOGRAPHICS)) -> DataFrame:
-    """Long rows (GEOID, NAME, variable, estimate, moe, year) to one column per variable."""
+    """Long rows (GEOID, NAME, variable, estimate, moe, year) to one column per variable; of several estimates the least."""
     return (
         rows.drop("moe").groupBy("GEOID", "NAME", "year").pivot("variable", list(names))
-        .agg(F.first("estimate", ignorenulls=True))
+        .agg(F.min("estimate"))
     )
 
 

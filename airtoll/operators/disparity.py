@@ -41,11 +41,16 @@ def vulnerability_table(cases: DataFrame, svi: DataFrame) -> DataFrame:
 
 
 def svi_by_tract(tracts: DataFrame, vulnerability: DataFrame, measure: str = "SVI") -> DataFrame:
-    """Every tract with its one vulnerability value."""
-    values = vulnerability.select(F.col("FIPS").alias("GEOID"), measure).dropDuplicates(["GEOID"])
+    """Every tract with its vulnerability value; of several the least."""
+    values = vulnerability.groupBy(F.col("FIPS").alias("GEOID")).agg(F.min(measure).alias(measure))
     return tracts.join(values, "GEOID", "left")
 
 
+def svi_of_exposed(exposed: DataFrame, svi: DataFrame) -> DataFrame:
+    """The vulnerability columns of the tracts that have exposed rows: no cases are computed for them."""
+    return clean_svi(svi).join(exposed.select(F.col("GEOID").cast("string").alias("FIPS")), "FIPS", "left_semi")
+
+
 def mortality_rows(vulnerability: DataFrame, scale: float = STRATIFIED_SCALE) -> DataFrame:
     """Mortality rows with known cases and `scaled_cases`, cases times a constant.
 

@@ -357,14 +357,13 @@ def run_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def full_year_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Logs of a whole year, one per 500th event; every third lacks a day and every second is open."""
-    event = F.col("event_id")
-    days = F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.when(
-        (event % 1500 != 0) | (d != 100), F.format_string("+Now Processing Data For Day No. %4d of 2024", d)))
-    closing = F.when(event % 1000 == 0, F.lit("+Now Processing Output Options"))
-    return table(spark, folder, "events").filter(event % 500 == 0).select(
-        F.concat(F.lit("Full"), event.cast("string"), F.lit(" Typical Controlled PM_RUN.log")).alias("file_name"),
-        F.explode(F.array_compact(F.concat(days, F.array(closing)))).alias("line"))
+    """Logs of a whole year: 366 events in a row are one; every third lacks a day and every second is open."""
+    run, day = F.floor(F.col("event_id") / 366), F.col("event_id") % 366 + 1
+    line = F.when((run % 3 != 0) | (day != 100), F.format_string("+Now Processing Data For Day No. %4d of 2024", day))
+    closing = F.when((day == 366) & (run % 2 == 0), F.lit("+Now Processing Output Options"))
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("Full"), run.cast("string"), F.lit(" Typical Controlled PM_RUN.log")).alias("file_name"),
+        F.explode(F.array_compact(F.array(line, closing))).alias("line"))
 
 
 def downwash_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -498,7 +498,7 @@ def d19_vulnerability(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def j15_svi_by_tract(spark: SparkSession, folder: str) -> DataFrame:
-    return V.svi_by_tract(_city_tracts(spark, folder), B.vulnerability(spark, folder))
+    return V.svi_by_tract(_city_tracts(spark, folder), V.svi_of_exposed(B.exposed(spark, folder), B.svi(spark, folder)))
 
 
 @query
@@ -675,7 +675,7 @@ def x4_run_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def x5_run_completeness(spark: SparkSession, folder: str) -> DataFrame:
-    lines = B.run_lines(spark, folder).unionByName(B.full_year_lines(spark, folder))
+    lines = staged(B.run_lines(spark, folder).unionByName(B.full_year_lines(spark, folder)))
     return A.run_completeness(P.run_days(lines))
 
 
@@ -691,14 +691,14 @@ def x6_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def x7_site_characteristics(spark: SparkSession, folder: str) -> DataFrame:
-    lines = B.site_lines(spark, folder)
+    lines = staged(B.site_lines(spark, folder))
     return A.site_characteristics(P.sector_bounds(lines), P.site_values(lines))
 
 
 @query
 def x8_annual_roughness(spark: SparkSession, folder: str) -> DataFrame:
-    monthly = P.monthly_roughness(B.month_lines(spark, folder))
-    return rounded(A.annual_roughness(monthly, P.site_values(B.site_lines(spark, folder))), {"monthly_mean": 6})
+    monthly = P.monthly_roughness(staged(B.month_lines(spark, folder)))
+    return rounded(A.annual_roughness(monthly, P.site_values(staged(B.site_lines(spark, folder)))), {"monthly_mean": 6})
 
 
 @query
@@ -714,7 +714,7 @@ def x8_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def x9_cover_check(spark: SparkSession, folder: str) -> DataFrame:
-    return A.cover_check(P.cover_counts(B.cover_lines(spark, folder)))
+    return A.cover_check(P.cover_counts(staged(B.cover_lines(spark, folder))))
 
 
 @query

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 from airtoll import schemas as S
-from airtoll.functions.geodesy import RECTIFYING_RADIUS, TO_CONFORMAL, TO_GEODETIC, UTM_SCALE
 from airtoll.functions.student import NORMAL_975
 from airtoll.plans import bindings as B
 from airtoll.sources import reports as P
@@ -49,7 +48,15 @@ GEOID = "printf('%05d%06d', c_nationkey, c_custkey)"
 SVI_SQL = ", ".join(
     f"c_custkey * {prime} % 1000 / {1000.0 if i < 5 else 10.0} AS {new}"
     for i, ((_, new), prime) in enumerate(zip(SVI_NAMES, B.SVI_PRIMES, strict=True)))
-SCALE = UTM_SCALE * RECTIFYING_RADIUS
+# The inverse transverse Mercator series in powers of the third flattening, to the fourth.
+FLAT = 1 / 298.257223563
+N = FLAT / (2 - FLAT)
+SCALE = 0.9996 * (6378137.0 / (1 + N) * (1 + N**2 / 4 + N**4 / 64))
+TO_CONFORMAL = [N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360, N**2 / 48 + N**3 / 15 - 437 * N**4 / 1440, 17 * N**3 / 480 - 37 * N**4 / 840,
+                4397 * N**4 / 161280]
+TO_GEODETIC = [2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45, 7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45, 56 * N**3 / 15 - 136 * N**4 / 35,
+               4279 * N**4 / 630]
+
 
 def _tail(t: str, df: str) -> str:
     """Two-sided Student t probability: finite trigonometric series for even and odd df."""
@@ -418,11 +425,10 @@ VIEWS: dict[str, str] = {
     "run_line": """
         SELECT run || '_RUN.log' AS file_name, year(ts) AS y, dayofyear(ts) AS d, false AS c FROM event
         UNION ALL SELECT run || '_RUN.log', NULL, NULL, true FROM event WHERE event_type = 'signup'
-        UNION ALL SELECT 'Full' || event_id || ' Typical Controlled PM_RUN.log', 2024, days.d, false
-        FROM events, (SELECT unnest(range(1, 367)) AS d) days
-        WHERE event_id % 500 = 0 AND (event_id % 1500 <> 0 OR days.d <> 100)
-        UNION ALL SELECT 'Full' || event_id || ' Typical Controlled PM_RUN.log', NULL, NULL, true FROM events
-        WHERE event_id % 1000 = 0""",
+        UNION ALL SELECT 'Full' || event_id // 366 || ' Typical Controlled PM_RUN.log', 2024, event_id % 366 + 1, false FROM events
+        WHERE event_id // 366 % 3 <> 0 OR event_id % 366 <> 99
+        UNION ALL SELECT 'Full' || event_id // 366 || ' Typical Controlled PM_RUN.log', NULL, NULL, true FROM events
+        WHERE event_id // 366 % 2 = 0 AND event_id % 366 = 365""",
     "sector_item": """
         SELECT year(l_shipdate) + 19 AS year, l_suppkey // 4 AS site_no, l_partkey % 12 + 1 AS sector, month(l_shipdate) AS month,
                l_linenumber, CAST(l_quantity AS INTEGER) AS class FROM lineitem""",

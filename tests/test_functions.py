@@ -141,3 +141,10 @@ def test_tail_with_many_degrees_of_freedom(t, df):
     terms = (t**3 + t) / (4 * df) + (3 * t**7 - 7 * t**5 - 5 * t**3 - 3 * t) / (96 * df * df)
     want = math.erfc(t / math.sqrt(2)) + 2 * density * terms
     assert two_sided_p(np.array([t]), np.array([df]))[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_missing_value_and_the_text_na_cannot_share_a_heading(spark):
+    df = spark.createDataFrame([("a",), ("NA",), (None,)], "c string")
+    with pytest.raises(ValueError, match="heading"):
+        C.category_values(df, "c")
+    assert C.category_values(df.filter("c is not null"), "c") == ["NA", "a"]
