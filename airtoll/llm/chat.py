@@ -16,7 +16,8 @@ sorted and pass through a task one by one, which keeps a few numbers, however lo
 
 Defined results: null roles and texts are empty; rows with a null conv_id form one conversation, a
 null turn comes first; turns of the same number follow by role, then text; repeated rows are turns
-of their own; an empty table gives an empty result; further columns are ignored.
+of their own; an empty table gives an empty result; further columns are ignored. The ids of a very long text are
+those of the whole text, but for white space of more than 100,000 characters, which is cut inside.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ TOKENIZERS = "/opt/tokenizers"
 #: Fixed: how the vocabulary's texts are split before byte pairs are merged.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 START, END = "<|im_start|>", "<|im_end|>"
-#: Texts longer than this are encoded in pieces.
-PIECE = 1 << 16
+#: Texts longer than this are encoded in pieces; white space longer than SPACES is cut.
+PIECE, SPACES = 1 << 16, 100_000
+#: Where a text may be cut: none of the pattern's pieces goes on from other characters to white space.
+SEAM = re.compile(r"(?<=\S)[ \n]")
 
 
 def escape(text: str) -> str:
@@ -55,6 +58,33 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def pieces(text: str) -> Iterator[str]:
+    """Parts of a long text that are encoded as they are inside it, whatever stands beside them.
+
+    A part ends before white space that follows another character, or goes on to the end. Only white space of more
+    than SPACES characters, which the pattern can't take as one, is cut inside.
+    """
+    at = 0
+    while at < len(text):
+        seam = SEAM.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = seam.start() if seam else len(text)
+        part = text[at:end]
+        if len(part) > SPACES:
+            for run in re.finditer(rf"\s{{{SPACES + 1},}}", part):
+                for cut in range(at + run.start() + SPACES, at + run.end(), SPACES):
+                    yield text[at:cut] if cut - SPACES <= at + run.start() else text[cut - SPACES:cut]
+                    last = cut
+                at, part = last, text[last:end]
+                break  # what is behind is looked at anew
+            else:
+                yield part
+                at = end
+                continue
+            continue
+        yield part
+        at = end
+
+
 class Codec:
     """Encoder of ordinary text plus two reserved ids behind the vocabulary."""
 
@@ -77,7 +107,7 @@ class Codec:
         return cls.known[digest]
 
     def encode(self, text: str) -> list[int]:
-        return [i for at in range(0, len(text), PIECE) for i in self.encoding.encode_ordinary(text[at:at + PIECE])]
+        return [i for piece in pieces(text) for i in self.encoding.encode_ordinary(piece)]
 
     def decode(self, ids) -> str:
         return self.encoding.decode_bytes(list(ids)).decode("utf-8", "surrogatepass")

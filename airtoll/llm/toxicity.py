@@ -1,11 +1,12 @@
 """Toxicity classifier: subword-bag embeddings averaged into a linear softmax, in numpy.
 
-A word is the mean of the vectors of its character n-grams (hashed into buckets), a document the mean of its words, and a linear softmax tells the classes apart.
+A word is the mean of the vectors of its character n-grams (hashed into buckets), a window of a text the
+mean of its words, and a linear softmax tells the classes apart; a text is as toxic as its most toxic window.
 Vectors and softmax are trained jointly, so a misspelling that training never saw shares most of its
 n-grams with the word it stands for.
 
 A bounded sample of labelled rows comes to the driver (the first `per_class` documents of each class
-in the order of a hash of their id). Both classes weigh the same. As averaging and softmax are
+in the order of a hash of their id; of a very long text so many pieces). Both classes weigh the same. As averaging and softmax are
 linear, the margin of a window is the mean of one number per word, which is what the tasks add up
 over whole texts.
 
@@ -226,17 +227,29 @@ def grouped(texts: list[str | None], most_chars: int = 1 << 20) -> Iterator[list
         yield held
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 1000, most_chars: int = 100_000,
-          doc: str = "doc_id", text: str = "text") -> Model:
+def example(text: Column, piece_chars: int, pieces: int) -> Column:
+    """What of a text is an example: all of it, or of a text of more pieces than that so many whole ones, by their hash, in order."""
+    many = F.ceil(F.char_length(text) / piece_chars).cast("int")
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(F.xxhash64(i).alias("hash"), i.alias("i"))))
+    chosen = F.array_sort(F.transform(F.slice(ranked, 1, pieces), lambda r: r["i"]))
+    cut = F.array_join(F.transform(chosen, lambda i: F.substr(text, i * piece_chars + 1, F.lit(piece_chars))), " ")
+    return F.when(many > pieces, cut).otherwise(text)
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 1000, most_chars: int | None = None,
+          doc: str = "doc_id", text: str = "text", piece_chars: int = 100_000, pieces: int = 8) -> Model:
     """Model from the labels whose column doc_id is allowed.
 
-    per_class bounds the rows of the sample and most_chars the length of its texts (longer ones are
-    no examples; all are scored), and so what the driver gets. Of rows that share an id one is an example.
+    per_class bounds the rows of the sample, and pieces of piece_chars characters each what of a very
+    long text is learnt from, and so what the driver gets; texts up to pieces * piece_chars are taken as a whole, and all are
+    scored as a whole. most_chars, if given, leaves longer texts out of the sample. Of rows that share an id
+    one is an example.
     """
-    short = docs.where(F.char_length(F.col(text)) <= most_chars)
-    known = short.select(F.col(doc).cast("long").alias("doc_id")).distinct()
+    short = docs if most_chars is None else docs.where(F.char_length(F.col(text)) <= most_chars)
+    known = short.where(F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("doc_id")).distinct()
     ids = training_ids(labels.join(known, "doc_id", "left_semi"), "toxic", allowed, per_class)
-    got = one_text_each(short, ids, doc, text).toPandas().sort_values("doc_id", kind="stable")
+    chosen = one_text_each(short, ids, doc, text).select("doc_id", "label", example(F.col("text"), piece_chars, pieces).alias("text"))
+    got = chosen.toPandas().sort_values("doc_id", kind="stable")
     return fit(got["text"].tolist(), got["label"].to_numpy())
 
 
