@@ -9,7 +9,10 @@ fails with a chance below 2 (1 - s^a)^m: 1.5e-5 at 0.85 for a = 4 and m = 16, an
 Equal sets are one node from the start, so copies are never paired. Left keys that only one set has
 are dropped before pairs of keys are formed. Each table key then links its sets to the smallest of
 them; the components of these links are the candidate clusters, and every pair that collides is in
-one. Clusters are confirmed on full sets recomputed from the texts: small ones are packed into bins
+one. Texts of one template, alike by half, collide often enough to chain into one cluster; so clusters larger than
+a block are first split by the minhashes themselves, a byte of each: pairs that agree in fewer than the
+threshold less `slack` points don't chain (a pair at the threshold is lost by that with a chance of about 1e-6). Clusters are
+confirmed on full sets recomputed from the texts: small ones are packed into bins
 of bounded size, large ones are cut into blocks by hash, and each pair of blocks is a task of its
 own. Inside a task an inverted index gives the exact intersections; only links that join two groups
 leave it, never all pairs. Components of the confirmed links are the result.
@@ -81,22 +84,24 @@ def parameters(functions: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:functions], seeds[functions:] | np.uint64(1)
 
 
-def tensor_keys(sets: list[np.ndarray], a: int, m: int) -> np.ndarray:
-    """(len(sets), 2 m) small keys of non-empty sets: m left ones, then m right ones."""
+def tensor_keys(sets: list[np.ndarray], a: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(len(sets), 2 m) small keys of non-empty sets, m left ones, then m right ones, and a byte of each of their 2 m a minhashes."""
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     add, factor = parameters(2 * m * a)
-    keys = np.zeros((len(sets), 2 * m), np.uint64)
+    keys, sketch = np.zeros((len(sets), 2 * m), np.uint64), np.empty((len(sets), 2 * m * a), np.uint8)
     for f in range(2 * m * a):
         hashed = (flat ^ add[f]) * factor[f]
         hashed ^= hashed >> np.uint64(32)
         hashed *= MIX_1
-        keys[:, f // a] = mix(keys[:, f // a] + np.minimum.reduceat(hashed, starts) + np.uint64(f))
-    return keys
+        least = np.minimum.reduceat(hashed, starts)
+        keys[:, f // a] = mix(keys[:, f // a] + least + np.uint64(f))
+        sketch[:, f] = mix(least) & np.uint64(255)
+    return keys, sketch
 
 
 def features(docs: DataFrame, doc: str, text: str, size: int, a: int, m: int) -> DataFrame:
-    """(doc_id, node, text_key, n_shingles, n_chars, signature, left, right) of every row; no keys for empty sets."""
+    """(doc_id, node, text_key, n_shingles, n_chars, signature, left, right, sketch) of every row; no keys for empty sets."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
 
@@ -104,12 +109,12 @@ def features(docs: DataFrame, doc: str, text: str, size: int, a: int, m: int) ->
             frame = pd.DataFrame(rows, columns=["doc_id", "node", "text_key", "n_shingles", "n_chars", "signature"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             full = [i for i, s in enumerate(sets) if len(s)]
-            left, right = [None] * len(sets), [None] * len(sets)
+            left, right, sketch = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
-                keys = tensor_keys([sets[i] for i in full], a, m).view(np.int64)
-                for i, row in zip(full, keys):
-                    left[i], right[i] = row[:m], row[m:]
-            frame["left"], frame["right"] = left, right
+                keys, bytes_ = tensor_keys([sets[i] for i in full], a, m)
+                for i, row, line in zip(full, keys.view(np.int64), bytes_):
+                    left[i], right[i], sketch[i] = row[:m], row[m:], line.tobytes()
+            frame["left"], frame["right"], frame["sketch"] = left, right, sketch
             return frame
 
         for part in parts:
@@ -127,7 +132,7 @@ def features(docs: DataFrame, doc: str, text: str, size: int, a: int, m: int) ->
                 yield done(rows, sets)
 
     return numbered(docs, doc, text).mapInPandas(run, "doc_id long, node long, text_key long, n_shingles long, n_chars long, signature binary, "
-                                                      "left array<long>, right array<long>")
+                                                      "left array<long>, right array<long>, sketch binary")
 
 
 def node_of(doc: str, text: str) -> Column:
@@ -190,18 +195,67 @@ def confirmed(nodes: list[int], sets: list[np.ndarray], side: list[int] | None,
     return links
 
 
+def likely(nodes: list[int], sketches: np.ndarray, side: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Links of sets of different sides, if there are two, that agree in so many minhashes and join two groups of them."""
+    group, links, two = np.arange(len(nodes)), [], side.min() != side.max()
+    for x in range(1, len(nodes)):
+        good = (sketches[:x] == sketches[x]).sum(axis=1) >= least
+        good &= group[:x] != group[x]
+        if two:
+            good &= side[:x] != side[x]
+        for y in np.flatnonzero(good):
+            if group[y] != group[x]:
+                links.append((nodes[y], nodes[x]))
+                group[group == group[x]] = group[y]
+    return links
+
+
+def likely_links(members: DataFrame, functions: int, percent: int, sketch_rows: int) -> DataFrame:
+    """(a, b) of members (node, cluster, rows, sketch): pairs of a cluster whose share of equal minhashes is percent or more.
+
+    A cluster is compared in pairs of blocks of sketch_rows sketches, a byte for each minhash; links that join two
+    groups of a pair of blocks leave it.
+    """
+    blocks = F.ceil(F.col("rows") / sketch_rows).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = members.select("node", "cluster", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    spread = spread.select("node", "cluster", "sketch", low.alias("low"), high.alias("high"), (F.col("own") == high).cast("int").alias("side"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), functions)
+        inside = frame["low"].iloc[0] == frame["high"].iloc[0]
+        side = np.zeros(len(frame), int) if inside else frame["side"].to_numpy()
+        found = likely(frame["node"].tolist(), sketches, side, -(-functions * percent // 100)) if inside or len(set(side.tolist())) > 1 else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return spread.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, a: int = 4, m: int = 16,
-               block_rows: int = 1024, block_chars: int = 4 << 20) -> DataFrame:
+               block_rows: int = 1024, block_chars: int = 4 << 20, sketch_rows: int = 8192, slack: int = 15) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id), signature."""
     rows = staged(features(docs, doc, text, size, a, m))
     sets = staged(rows.where("signature is not null").groupBy("signature").agg(
-        F.min("node").alias("node"), F.max("n_chars").alias("n_chars"), F.first("left").alias("left"), F.first("right").alias("right")))
+        F.min("node").alias("node"), F.max("n_chars").alias("n_chars"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("sketch").alias("sketch")))
     clusters = components(candidate_links(sets))
     clustered = sets.select("node", "n_chars").join(clusters, "node").select("node", F.col("component").alias("cluster"), "n_chars")
     clustered = staged(clustered)
-    totals = clustered.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("chars") / block_chars)).cast("int")
-    totals = staged(totals.select("cluster", "chars", F.least(blocks, F.col("rows")).cast("int").alias("blocks")))
+
+    def sized() -> DataFrame:
+        totals = clustered.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"))
+        blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("chars") / block_chars)).cast("int")
+        return staged(totals.select("cluster", "rows", "chars", F.least(blocks, F.col("rows")).cast("int").alias("blocks")))
+
+    totals = sized()
+    large = totals.where("blocks > 1").select("cluster", "rows")
+    if large.limit(1).count():  # those fall apart by their sketches first
+        members = clustered.join(large, "cluster").join(sets.select("node", "sketch"), "node")
+        fine = components(staged(likely_links(members, 2 * a * m, percent - slack, sketch_rows)))
+        parts = clustered.join(fine, "node").select("node", F.col("component").alias("cluster"), "n_chars")
+        clustered = staged(clustered.join(large, "cluster", "left_anti").select("node", "cluster", "n_chars").unionByName(parts))
+        totals = sized()
     bins = max(1, 8 * (totals.where("blocks = 1").agg(F.sum("chars")).first()[0] or 0) // block_chars)
     # A row of a cluster in one block goes to a bin; otherwise to the pairs of blocks that hold its own.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
