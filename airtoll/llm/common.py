@@ -50,6 +50,13 @@ def one_text_each(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataF
     return rows.groupBy("doc_id", "label").agg(least.alias("least")).select("doc_id", "label", "least.text")
 
 
+def one_of_repeated(df: DataFrame, *keys: Column) -> DataFrame:
+    """Of rows with the same keys the one whose columns come first as JSON, with all its columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*[k.alias(f"key {i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.to_json(row)).alias("first row")).select(
+        *[F.col("first row").getField(c).alias(c) for c in df.columns])
+
+
 def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
     """Write once into the shared folder, bucketed by a column, and read back; grouping by it needs no shuffle.
 

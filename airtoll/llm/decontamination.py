@@ -12,7 +12,8 @@ compared with the item windows as text. Hash collisions cost time, not correctne
 
 Defined results: null and empty texts have no words and no hits; a null item id takes part in
 hits but is not listed; repeated rows are computed alike and each returns its own row; an empty
-benchmark hits nothing; other columns of either table are ignored. A row is identified by its id
+benchmark hits nothing; a very long text is one array of words, of up to 2**31 places, and is held as a whole by
+its task; empty tables give empty results; other columns of either table are ignored. A row is identified by its id
 and a hash of its text, so repeated ids with different texts stay apart.
 """
 
@@ -132,7 +133,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, doc: st
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without a hit, with all their columns."""
-    bad = staged(decontaminate(docs, benchmark, span, doc, text).where("contaminated").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return docs.join(bad, F.col(doc).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    bad = staged(decontaminate(docs, benchmark, span, doc, text).where("contaminated").select("doc_id", "text_key").distinct())
+    key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    return docs.join(bad, docs[doc].eqNullSafe(bad["doc_id"]) & (key == bad["text_key"]), "left_anti")

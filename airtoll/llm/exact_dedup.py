@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airtoll.llm.common import ascii_lower
+from airtoll.llm.common import ascii_lower, one_of_repeated
 from airtoll.sources.staging import staged
 
 ENTRY = "text binary, owner long, owner_rows long, n long"
@@ -197,10 +197,10 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", doc: str = "doc_id", tex
 
 
 def keep_owners(docs: DataFrame, keep: str = "largest", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without copies, with its own columns; of repeated rows one stays."""
+    """docs without copies, with its own columns; of rows that repeat id and text the one whose columns come first as JSON."""
     groups = owners(docs, keep, doc, text)
     marked = mark(docs, groups, doc, text, docs.columns).where("kept")
     if groups.where("owner_rows > 1").limit(1).count():
-        once, more = marked.where("owner_rows = 1"), marked.where("owner_rows > 1").dropDuplicates(["text_sha256"])
+        once, more = marked.where("owner_rows = 1"), one_of_repeated(marked.where("owner_rows > 1"), F.col("text_sha256"))
         marked = once.unionByName(more)
     return marked.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)])

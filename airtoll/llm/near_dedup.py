@@ -20,7 +20,8 @@ leave it, never all pairs. Components of the confirmed links are the result.
 Defined results: null texts, empty texts and texts of white space have an empty set and link with
 nothing; a text of fewer words than a shingle is one shingle; rows that share an id are one document
 for linking, each with its own n_shingles; rows with a null id link like others but never name a
-component (component_id is null if no row of it has an id); an empty table gives an empty result;
+component (component_id is null if no row of it has an id); very long texts are one set like others, in a block of
+their own if need be; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -35,6 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airtoll.llm.common import one_of_repeated
 from airtoll.llm.components import components
 from airtoll.sources.staging import staged
 
@@ -295,10 +297,13 @@ def near_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: i
 
 
 def keep_smallest(docs: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one document of each group, the smallest id, and its own columns; of equal rows (id and text) one stays."""
+    """docs with one document of each group, the smallest id, and its own columns.
+
+    Of rows that repeat id and text the one whose columns come first as JSON stays.
+    """
     judged = staged(near_dedup(docs, doc, text, **how).select("node", "text_key", "kept"))
-    gone = judged.where("not kept").select(F.col("node").alias("__n"), F.col("text_key").alias("__k")).distinct()
-    stay = docs.join(gone, (node_of(doc, text) == F.col("__n")) & (F.xxhash64(F.col(text)) == F.col("__k")), "left_anti")
+    gone = judged.where("not kept").select("node", "text_key").distinct()
+    stay = docs.join(gone, (node_of(doc, text) == gone["node"]) & (F.xxhash64(docs[text]) == gone["text_key"]), "left_anti")
     if judged.where("kept").groupBy("node", "text_key").count().where("count > 1").limit(1).count():
-        stay = stay.dropDuplicates([doc, text])
+        stay = one_of_repeated(stay, F.col(doc), F.col(text))
     return stay

@@ -11,7 +11,8 @@ each step sends the weights (a bounded array) out and brings one gradient sum pe
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is
 judged by the bias alone; repeated rows are judged alike; an empty training table gives weights of
-0 and the verdict "allow"; further columns are ignored.
+0 and the verdict "allow"; a very long url is judged by all its n-grams and all suffixes of its host; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
