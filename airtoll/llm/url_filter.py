@@ -11,7 +11,8 @@ each step sends the weights (a bounded array) out and brings one gradient sum pe
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is
 judged by the bias alone; repeated rows are judged alike; an empty training table gives weights of
-0 and the verdict "allow"; a very long url is judged by all its n-grams and all suffixes of its host; an empty table
+0 and the verdict "allow"; a very long url is judged by all its n-grams and all suffixes of its
+host (whose length is the square of the host's, which is no more than 253 characters in a valid name); an empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -62,14 +63,21 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
 
 
-def grams(host: Column, path: Column, sizes: tuple[int, ...], buckets: int) -> Column:
-    """Distinct buckets of the character n-grams of host and path; the two are told apart."""
-    def of(text: Column, mark: str) -> list[Column]:
-        framed = F.concat(F.lit("^"), text, F.lit("$"))
-        return [F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(framed) - (k - 1), F.lit(1))),
-                            lambda i, k=k: F.pmod(F.xxhash64(F.lit(mark), F.substr(framed, i, F.lit(k))), F.lit(buckets)).cast("int"))
-                for k in sizes]
-    return F.array_distinct(F.concat(*of(host, "h"), *of(path, "p")))
+def with_letters(df: DataFrame) -> DataFrame:
+    """df with the characters of host and path as arrays, framed by ^ and $: columns of their own, so that each n-gram
+    takes a few of them instead of looking through the text from its start."""
+    return df.withColumns({f"{c}_letters": F.split(F.concat(F.lit("^"), F.col(c), F.lit("$")), "") for c in ("host", "path")})
+
+
+def grams(sizes: tuple[int, ...], buckets: int) -> Column:
+    """Distinct buckets of the character n-grams of host_letters and path_letters; the two are told apart."""
+    def of(letters: str, mark: str, k: int) -> Column:
+        def bucket(i: Column) -> Column:
+            gram = F.concat(*[F.coalesce(F.get(letters, i + j), F.lit("")) for j in range(k)])
+            return F.pmod(F.xxhash64(F.lit(mark), gram), F.lit(buckets)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(letters) - k, F.lit(0))), bucket)
+
+    return F.array_distinct(F.concat(*[of(c, mark, k) for c, mark in (("host_letters", "h"), ("path_letters", "p")) for k in sizes]))
 
 
 def margin(buckets: Column, weights: list[float], bias: float) -> Column:
@@ -79,12 +87,11 @@ def margin(buckets: Column, weights: list[float], bias: float) -> Column:
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", sizes: tuple[int, ...] = (3, 4, 5),
-          buckets: int = 1 << 14, steps: int = 15, rate: float = 40.0, decay: float = 1e-4) -> tuple[list[float], float]:
+          buckets: int = 1 << 14, steps: int = 15, rate: float = 10.0, decay: float = 1e-4) -> tuple[list[float], float]:
     """(weights, bias) of P(block) from a small labelled table (label 1: block)."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    examples = staged(labelled.where(F.col(label).isin(0, 1)).select(
-        F.col(label).cast("double").alias("y"), host.alias("host"), path.alias("path"))
-        .select("y", grams(F.col("host"), F.col("path"), sizes, buckets).alias("x")))
+    examples = staged(with_letters(labelled.where(F.col(label).isin(0, 1)).select(
+        F.col(label).cast("double").alias("y"), host.alias("host"), path.alias("path"))).select("y", grams(sizes, buckets).alias("x")))
     counts = examples.agg(F.count("*").alias("n"), F.sum("y").alias("ones")).first()
     if not counts["n"] or not 0 < counts["ones"] < counts["n"]:  # nothing to tell apart
         return [0.0] * buckets, 0.0 if not counts["n"] else (1.0 if counts["ones"] else -1.0)
@@ -131,12 +138,12 @@ def match_rules(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: tuple[list[float], float], key: str = "page_id",
-          url: str = "url", sizes: tuple[int, ...] = (3, 4, 5), threshold: float = 0.7) -> DataFrame:
+          url: str = "url", sizes: tuple[int, ...] = (3, 4, 5), threshold: float = 0.5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (P(block) of the regression)."""
     weights, bias = model
     matched = match_rules(pages, rules_table(pages, rules), key, url)
-    score = 1 / (1 + F.exp(-margin(grams(F.col("host"), F.col("path"), sizes, len(weights)), weights, bias)))
-    scored = matched.withColumn("score", score)
+    score = 1 / (1 + F.exp(-margin(grams(sizes, len(weights)), weights, bias)))
+    scored = with_letters(matched).withColumn("score", score)
     return scored.select("page_id", "host", "path", "rule",
                          F.coalesce("rule_verdict", F.when(F.col("score") > threshold, "block").otherwise("allow")).alias("verdict"), "score")
 

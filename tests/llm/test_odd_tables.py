@@ -71,3 +71,14 @@ def test_searches_read_only_their_columns(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0], i, "x") for i in range(50)], "vec_id long, embedding array<double>, rank int, query long".replace(", query long", ", query string"))
     got = exact_topk.exact_topk(vectors, k=1).collect()
     assert {(r["query_id"], r["vec_id"]) for r in got} == {(0, 1), (20, 49), (40, 49)}
+
+
+def test_ngrams_of_urls_by_brute_force(spark):
+    urls = spark.createDataFrame([("ab.c", "/é"), ("", ""), ("x", "/abcabc")], "host string, path string")
+    got = [sorted(r["g"]) for r in url_filter.with_letters(urls).select(url_filter.grams((3, 4), 1 << 30).alias("g")).collect()]
+    want = []
+    for host, path in (("ab.c", "/é"), ("", ""), ("x", "/abcabc")):
+        parts = {(m, t[i:i + k]) for m, t in (("h", f"^{host}$"), ("p", f"^{path}$")) for k in (3, 4) for i in range(max(len(t) - k, 0) + 1)}
+        frame = spark.createDataFrame(sorted(parts), "m string, t string")
+        want.append(sorted(r[0] for r in frame.select(F.pmod(F.xxhash64("m", "t"), F.lit(1 << 30)).cast("int")).distinct().collect()))
+    assert got == want
