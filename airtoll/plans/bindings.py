@@ -279,6 +279,38 @@ def cost(spark: SparkSession) -> DataFrame:
     return literal(spark, COSTS, "`Health Endpoint`, `Economic Cost`")
 
 
+def _endpoint() -> Column:
+    return F.element_at(F.array(*[F.lit(e) for e in S.ENDPOINT_OF_RATE.values()]), (F.col("l_linenumber") % len(S.ENDPOINT_OF_RATE) + 1).cast("int"))
+
+
+def risk_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """A sheet of relative risks by pollutant and endpoint, some unreadable, as text."""
+    rows = table(spark, folder, "lineitem").groupBy(pollutant().alias("pollutant"), _endpoint().alias("Health Endpoint")).agg(F.sum("l_partkey").alias("s"))
+    value = F.when(F.col("s") % 7 == 0, "NA").otherwise((1 + F.col("s") % 40 / 1000.0).cast("string"))
+    return rows.select("pollutant", "Health Endpoint", value.alias(S.RISK_HEADING), F.concat(F.lit("study, "), (F.col("s") % 9).cast("string")).alias("RR Source"))
+
+
+def cost_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """A sheet of unit costs by endpoint, columns in another order than declared."""
+    rows = table(spark, folder, "lineitem").groupBy(_endpoint().alias("Health Endpoint")).agg(F.sum("l_suppkey").alias("s"))
+    return rows.select(F.lit("table").alias("Source"), (F.col("s") % 1000000 / 4.0).alias("Economic Cost"), "Health Endpoint")
+
+
+def county_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """County outlines as well-known text, two parts where the key is odd."""
+    n = F.col("n_nationkey")
+
+    def square(x: Column) -> Column:
+        corners = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+        return F.concat(F.lit("(("), F.concat_ws(", ", *[F.concat_ws(" ", (x + dx).cast("string"), F.lit(f"{dy}.5")) for dx, dy in corners]), F.lit("))"))
+
+    shape = F.when(n % 2 == 1, F.concat(F.lit("MULTIPOLYGON ("), square(n * 3), F.lit(", "), square(n * 3 + 10), F.lit(")"))).otherwise(
+        F.concat(F.lit("POLYGON "), square(n * 3)))
+    return table(spark, folder, "nation").select(
+        padded("n_nationkey", 5).alias("GEOID"), F.col("n_name").alias("NAME"), F.concat(F.lit("County "), n.cast("string")).alias("NAMELSAD"),
+        padded("n_regionkey", 2).alias("STATEFP"), shape.alias("geometry"), F.explode(F.array(F.lit(2010), F.lit(2021))).alias("vintage"))
+
+
 def sectors(spark: SparkSession) -> DataFrame:
     """Twelve sectors of 30 degrees, turned by 15 so that one passes north."""
     return literal(spark, [(i + 1, (i * 30 + 345.0) % 360, (i * 30 + 15.0) % 360) for i in range(12)],

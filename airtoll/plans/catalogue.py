@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airtoll import schemas as S
-from airtoll.functions.columns import fixed_text, number_text
+from airtoll.functions.columns import fixed_text, number_text, rank_in
 from airtoll.functions.geodesy import utm_to_lon_lat
 from airtoll.operators import audits as A
 from airtoll.operators import demographics as D
@@ -118,6 +118,44 @@ def s5_incidence_file(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read_incidence(spark, _as_csv(B.rates(spark, folder)))
 
 
+@query
+def s5_risk_file(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read_risk(spark, _as_csv(B.risk_sheet(spark, folder)))
+
+
+@query
+def s5_cost_file(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read_cost(spark, _as_csv(B.cost_sheet(spark, folder)))
+
+
+@query
+def s9_county_file(spark: SparkSession, folder: str) -> DataFrame:
+    shapes = tables.read_boundaries(spark, [_as_csv(B.county_texts(spark, folder))], schema=S.COUNTY, vintage=2021)
+    corners = F.flatten(F.flatten("polygons"))
+    return shapes.select("GEOID", "NAME", "NAMELSAD", "STATEFP", F.array_min(corners["x"]).alias("west"), F.array_max(corners["x"]).alias("east"),
+                         F.size("polygons").alias("parts"), F.size(corners).alias("vertices"))
+
+
+@query
+def s11_partitioned_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Facilities share a path: writing one of them again replaces its rows alone."""
+    rows = B.points(spark, folder).groupBy("pollutant", "condition").agg(F.count("Conc").alias("readings"))
+    path = scratch_path(spark)
+    sinks.write_table(rows, path, ["pollutant"])
+    sinks.write_table(rows.filter(F.col("pollutant") == "PM").withColumn("readings", -F.col("readings")), path, ["pollutant"])
+    return spark.read.parquet(path).select("pollutant", "condition", "readings")
+
+
+@query
+def o1_display_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every row after sorting, missing ranks last."""
+    costs = U.cost_by(U.cost_summary(B.cases(spark, folder), B.cost(spark), "condition"), "condition", "pollutant")
+    ranked = costs.withColumn("condition_rank", rank_in(F.col("condition"), S.CONDITION_ORDER)).withColumn(
+        "pollutant_rank", rank_in(F.col("pollutant"), S.POLLUTANT_ORDER))
+    ordered_rows = U.in_display_order(ranked, "condition_rank", "pollutant_rank").withColumn("at", F.monotonically_increasing_id())
+    return ordered_rows.select("condition", "pollutant", F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
 @query
 def s6_demographics_file(spark: SparkSession, folder: str) -> DataFrame:
     return D.widen_demographics(tables.read_demographics_long(spark, _as_csv(B.demographics_long(spark, folder))))

@@ -43,6 +43,7 @@ POLLUTANT = "CASE l_returnflag WHEN 'A' THEN 'PM' WHEN 'N' THEN 'NOx' ELSE 'SO2'
 CONDITION = ("(CASE WHEN l_linenumber % 3 = 0 THEN 'Max' ELSE 'Typical' END || ' ' || "
              "CASE l_linestatus WHEN 'F' THEN 'Controlled' ELSE 'Uncontrolled' END)")
 LEVEL = "abs(l_discount) * 100"
+ENDPOINT = "[" + ", ".join(_text(e) for e in S.ENDPOINT_OF_RATE.values()) + f"][l_linenumber % {len(S.ENDPOINT_OF_RATE)} + 1]"
 IDLE_CONDITION = f"CASE WHEN l_linenumber % 7 = 0 THEN 'Idle Controlled' ELSE {CONDITION} END"
 GEOID = "printf('%05d%06d', c_nationkey, c_custkey)"
 SVI_SQL = ", ".join(
@@ -736,6 +737,23 @@ BODIES: dict[str, str] = {
         SELECT 'reformatted_' || r.file_name AS file_name, CAST(regexp_extract(r.file_name, '[0-9]{4}') AS INTEGER) AS year,
                split_part(r.file_name, ' ', 3) AS pollutant, round(lat, 7) AS latitude, round(lon, 7) AS longitude, conc AS "Conc"
         FROM receptor r JOIN lonlat n ON r.X = n.X AND r.Y = n.Y""",
+    "s5_risk_file": f"""
+        SELECT pollutant, endpoint, CASE WHEN s % 7 <> 0 THEN 1 + s % 40 / 1000.0::DOUBLE END AS "RR"
+        FROM (SELECT {POLLUTANT} AS pollutant, {ENDPOINT} AS endpoint, CAST(sum(l_partkey) AS BIGINT) AS s FROM lineitem GROUP BY ALL)""",
+    "s5_cost_file": f"""
+        SELECT endpoint AS "Health Endpoint", CAST(sum(l_suppkey) AS BIGINT) % 1000000 / 4.0::DOUBLE AS "Economic Cost"
+        FROM (SELECT {ENDPOINT} AS endpoint, l_suppkey FROM lineitem) GROUP BY endpoint""",
+    "s9_county_file": """
+        SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS GEOID, n_name AS NAME, 'County ' || n_nationkey AS NAMELSAD,
+               lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS STATEFP, n_nationkey * 3::DOUBLE AS west,
+               n_nationkey * 3 + CASE WHEN n_nationkey % 2 = 1 THEN 11 ELSE 1 END::DOUBLE AS east, n_nationkey % 2 + 1 AS parts, (n_nationkey % 2 + 1) * 5 AS vertices
+        FROM nation""",
+    "s11_partitioned_table": """
+        SELECT pollutant, condition, CASE WHEN pollutant = 'PM' THEN -n ELSE n END AS readings
+        FROM (SELECT pollutant, condition, count(conc) AS n FROM point GROUP BY ALL)""",
+    "o1_display_order": f"""
+        SELECT condition, pollutant, row_number() OVER (ORDER BY {_rank('condition', S.CONDITION_ORDER)} NULLS LAST,
+               {_rank('pollutant', S.POLLUTANT_ORDER)} NULLS LAST) AS place FROM (SELECT DISTINCT condition, pollutant FROM priced_c)""",
     "s12_named_files": """
         SELECT 'reformatted_' || r.file_name AS file_name, round(lat, 7) AS latitude, round(lon, 7) AS longitude, conc AS "Conc"
         FROM receptor r JOIN lonlat n ON r.X = n.X AND r.Y = n.Y""",
