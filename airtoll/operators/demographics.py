@@ -13,11 +13,12 @@ from airtoll.functions.columns import category_values
 
 
 def widen_demographics(rows: DataFrame, names: Sequence[str] = tuple(S.DEMOGRAPHICS)) -> DataFrame:
-    """Long rows (GEOID, NAME, variable, estimate, moe, year) to one column per variable; of several estimates the least."""
-    return (
-        rows.drop("moe").groupBy("GEOID", "NAME", "year").pivot("variable", list(names))
-        .agg(F.min("estimate"))
-    )
+    """Long rows (GEOID, NAME, variable, estimate, moe, year) to one column per variable; of several estimates the least.
+
+    One aggregation and one shuffle, of a row per tract and year, where a pivot sends a row per variable and groups twice.
+    """
+    return rows.groupBy("GEOID", "NAME", "year").agg(*[
+        F.min(F.when(F.col("variable") == name, F.col("estimate"))).alias(name) for name in names])
 
 
 def spread_vintages(rows: DataFrame, years: Sequence[int], most_years: int | None = None, key: str = "GEOID") -> DataFrame:
@@ -80,10 +81,11 @@ def add_demographics(concentrations: DataFrame, demographics: DataFrame,
                      on: Sequence[str] = ("GEOID",)) -> DataFrame:
     """Left join by tract, or by tract and year; the county id comes from the tract id.
 
-    Concentrations keep their own NAME. Tracts without demographics keep null counts.
+    Concentrations keep their own NAME. Tracts without demographics keep null counts. Demographics have a row per
+    tract (and year) and are unfolded from smaller files, so their estimated size does not decide on a broadcast.
     """
     joined = concentrations.withColumn("GEOID", F.col("GEOID").cast("string")).join(
-        demographics.drop("NAME"), list(on), "left")
+        demographics.drop("NAME").hint("merge"), list(on), "left")
     return joined if "county_fips" in joined.columns else joined.withColumn(
         "county_fips", county_of(F.col("GEOID")))
 
@@ -92,7 +94,7 @@ def unmatched_tracts(concentrations: DataFrame, demographics: DataFrame,
                      on: Sequence[str] = ("GEOID",)) -> DataFrame:
     """Rows per scenario year whose tract has no demographics; they vanish from every sum."""
     others = [c for c in on if c != "GEOID"]
-    missing = concentrations.join(demographics.select(*on), list(on), "left_anti")
+    missing = concentrations.join(demographics.select(*on).hint("merge"), list(on), "left_anti")
     return missing.groupBy(*others).agg(F.count(F.lit(1)).alias("unmatched_rows"),
                                         F.countDistinct("GEOID").alias("unmatched_tracts"))
 
