@@ -56,3 +56,11 @@ def test_blocks_follow_the_partitions_not_the_bytes(spark, tmp_path):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
     got = lines.groupBy("file_name").agg(F.max("number"), F.countDistinct("number"), F.max_by("line", "number")).collect()
     assert len(got) == 40 and {tuple(r)[1:] for r in got} == {(2000, 2000, "line 1999")}
+
+
+def test_shapes_of_matches_are_made_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(G, "staged", lambda df: kept.append(df.columns) or staged(df))
+    folder = "/root/testdata/sf0.001"
+    G.points_in_tracts(B.outline_points(spark, folder), B.outlines(spark, folder))
+    assert ["GEOID", "edges", "min_x", "max_x", "min_y", "max_y", "x_scale"] in kept
