@@ -1,9 +1,11 @@
-"""Representatives on the sides of cells, tables of levels, pairs that travel without cells, blocks that grow."""
+"""Representatives on the sides of cells, tables of levels, pairs and rows that travel once, blocks that grow."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
+from airtoll.operators import receptors as R
 from airtoll.operators import spatial as G
 from airtoll.plans import bindings as B
 from airtoll.sources import ordered
@@ -64,3 +66,39 @@ def test_shapes_of_matches_are_made_once(spark, monkeypatch):
     folder = "/root/testdata/sf0.001"
     G.points_in_tracts(B.outline_points(spark, folder), B.outlines(spark, folder))
     assert ["GEOID", "edges", "min_x", "max_x", "min_y", "max_y", "x_scale"] in kept
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_pairs_with_double_keys_are_dealt_once(spark):
+    """Spark groups by normalised doubles: dealt by the doubles as they are, pairs went again, with the cells at the top."""
+    sites = spark.range(500).selectExpr("cast(id % 20 as double) X", "cast(id as double) Y", "id / 1000 - 76D Longitude", "id % 7 + 39D Latitude")
+    places = spark.range(300).selectExpr("concat('p', id) place", "id / 600 - 76D longitude", "id % 11 / 2 + 39D latitude")
+    found = G.nearest_place(sites, places, ["X", "Y"])
+    dealt = [line for line in exchanges(found) if "key_0" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+    towns = [tuple(r) for r in places.select("longitude", "latitude", "place").collect()]
+    best = {}
+    for s in sites.collect():
+        scale = math.cos(math.radians(s["Latitude"]))
+        best[s["X"], s["Y"]] = min((round(math.hypot((x - s["Longitude"]) * scale, y - s["Latitude"]), 9), x, y, p) for x, y, p in towns)[-1]
+    assert {(r["X"], r["Y"]): r["place"] for r in found.collect()} == best
+
+
+def test_numbered_rows_travel_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(R, "staged", lambda df: kept.append((exchanges(df), staged(df))) or kept[-1][1])
+    # two thirds of the rows are equal
+    df = spark.range(9000).selectExpr("'a' file_name", "if(id < 6000, 1D, cast(id as double)) X", "cast(null as double) Y")
+    numbered = R.number_rows(df, ["file_name"], ["Y", "X"], 1000)
+    assert exchanges(numbered) == []
+    (dealing, dealt), (_, starts) = kept
+    assert len(dealing) == 1 and "rangepartitioning" in dealing[0]
+    sizes = [r["count"] for r in dealt.groupBy("__range").count().collect()]
+    assert max(sizes) < 3000 and starts.count() == len(sizes)
+    got = numbered.orderBy("row_number").collect()
+    assert [r["row_number"] for r in got] == list(range(1, 9001))
+    assert [r["X"] for r in got] == sorted(r["X"] for r in got)
