@@ -10,6 +10,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry
 from airtoll.operators import spatial as G
+from airtoll.plans import bindings as B
 from airtoll.sources.staging import staged
 
 SITES = "k string, x double, y double, first double"
@@ -104,3 +105,11 @@ def test_an_inner_corner_off_the_grid_is_a_bound_too(spark):
     d = F.when(G.encloses(F.col("x"), F.col("y")), 0.0).otherwise(G.Plane.to_outline(F.col("x"), F.col("y")))
     best = pairs.groupBy("GEOID", "x", "y").agg(F.round(d, 9).alias("d")).groupBy("GEOID").agg(F.min(F.struct("d", "x", "y")).alias("b"))
     assert got == {b["GEOID"]: tuple(b["b"]) for b in best.collect()} and len(got) == 40
+
+
+def test_shapes_are_not_unfolded_before_tracts_are_dealt(spark):
+    """Spark moved the test for empty shapes, with the making of the edges, before the dealing: into the one task that reads the file."""
+    shapes = G.tract_shapes(B.outlines(spark, "/root/testdata/sf0.001"))
+    plan = shapes._jdf.queryExecution().optimizedPlan().toString()
+    dealing = plan.index("Repartition")
+    assert "size(" in plan[:dealing] and "size(" not in plan[dealing:] and shapes.count() > 100
